@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tidefold.llm.packing import op4_best_fit_packing
+from tidefold.llm.secrets import op1_secret_scan
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
 
