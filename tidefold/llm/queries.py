@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tidefold.llm.mixing import op10_source_mix
 from tidefold.llm.packing import op4_best_fit_packing
 from tidefold.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op10_source_mix": op10_source_mix,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
 
