@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tidefold.llm.mixing import op10_source_mix
 from tidefold.llm.packing import op4_best_fit_packing
+from tidefold.llm.ppm import op2_ppm_score
 from tidefold.llm.secrets import op1_secret_scan
 from tidefold.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op10_source_mix": op10_source_mix,
+    "op2_ppm_score": op2_ppm_score,
     "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
