@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidefold.llm.mixing import op10_source_mix
+from tidefold.llm.neighbours import op8_nearest_neighbours
 from tidefold.llm.packing import op4_best_fit_packing
 from tidefold.llm.ppm import op2_ppm_score
 from tidefold.llm.secrets import op1_secret_scan
@@ -10,6 +11,7 @@ from tidefold.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_source_mix": op10_source_mix,
     "op2_ppm_score": op2_ppm_score,
     "op3_toxicity": op3_toxicity,
