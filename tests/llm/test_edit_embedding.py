@@ -73,7 +73,7 @@ def test_one_row_and_empty(spark, tmp_path):
 def test_similar(spark):
     rng = random.Random(4)
     base = [text(rng, 800) for _ in range(20)]
-    texts = base + [b[:400] + "z" + b[400:] for b in base] + base[:3]
+    texts = base + [b[:700] + "z" + b[700:] for b in base] + base[:3]
     prints = spark.createDataFrame(list(enumerate(E.fingerprints(texts))), "doc_id long, fingerprint string")
     got = {(r.doc_id, r.other) for r in E.similar(prints).collect()}
     assert {(20 + i, i) for i in range(20)} == got

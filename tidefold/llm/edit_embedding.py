@@ -38,7 +38,7 @@ from tidefold.llm.common import partitions, prepare, table
 SAMPLES = 512
 RANGE_BYTES = 24 << 20
 #: Bits of a band of ``similar``, and the likeness that verifies a pair.
-BAND, LIKE = 16, 0.8
+BAND, LIKE = 16, 0.7
 _AHEAD = 64
 
 
