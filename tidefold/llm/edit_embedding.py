@@ -154,14 +154,16 @@ def bands(fingerprint: str) -> list[str]:
 
 
 def similar(prints: DataFrame, least: float = LIKE) -> DataFrame:
-    """prints: doc_id, fingerprint. Pairs (doc_id, other, likeness) with the least id of a shared band, verified; copies of a fingerprint are one."""
+    """prints: doc_id, fingerprint. Pairs (doc_id, other, likeness) with the least id of a shared band, verified. Of documents alike in fingerprint the least id stands for all; the others are paired with it."""
     one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     cut = F.udf(bands, "array<string>", useArrow=True)
     keys = one.select("doc_id", "fingerprint", F.explode(cut("fingerprint")).alias("band"))
     heads = keys.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("h"), F.count("*").alias("n")).where("n > 1")
     pairs = keys.join(heads, "band").where(F.col("doc_id") != F.col("h.doc_id")).select("doc_id", "fingerprint", F.col("h.doc_id").alias("other"), F.col("h.fingerprint").alias("to")).distinct()
     judge = F.udf(likeness, "double", useArrow=True)
-    return pairs.select("doc_id", "other", judge("fingerprint", "to").alias("likeness")).where(F.col("likeness") >= least)
+    verified = pairs.select("doc_id", "other", judge("fingerprint", "to").alias("likeness")).where(F.col("likeness") >= least)
+    copies = prints.join(one.select("fingerprint", F.col("doc_id").alias("other")), "fingerprint").where("doc_id <> other")
+    return verified.unionByName(copies.select("doc_id", "other", F.lit(1.0).alias("likeness")))
 
 
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
