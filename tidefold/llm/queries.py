@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidefold.llm.edit_embedding import op6_edit_fingerprint
+from tidefold.llm.lines import op9_line_dedup
 from tidefold.llm.mixing import op10_source_mix
 from tidefold.llm.neighbours import op8_nearest_neighbours
 from tidefold.llm.packing import op4_best_fit_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op6_edit_fingerprint": op6_edit_fingerprint,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
     "op2_ppm_score": op2_ppm_score,
     "op3_toxicity": op3_toxicity,
