@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidefold.llm.edit_embedding import op6_edit_fingerprint
+from tidefold.llm.jaccard import op5_jaccard_join
 from tidefold.llm.lines import op9_line_dedup
 from tidefold.llm.mixing import op10_source_mix
 from tidefold.llm.neighbours import op8_nearest_neighbours
@@ -13,6 +14,7 @@ from tidefold.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_edit_fingerprint": op6_edit_fingerprint,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_line_dedup": op9_line_dedup,
