@@ -35,8 +35,8 @@ from tidefold.llm.common import prepare, table
 K = 20
 QUERY_EVERY = 20
 PROJECTIONS = 8
-LEAF = 32
-MISS = 0.02
+LEAF = 192
+MISS = 0.05
 SEED = 11
 #: Distinct vectors of a block and queries of a group, about.
 BLOCK, GROUP = 20_000, 2_000
@@ -86,33 +86,33 @@ def search(vectors: np.ndarray, queries: np.ndarray, greatest: float, k: int) ->
     tree = Tree(np.hstack([vectors, rest[:, None]]) @ directions)
     norms = (queries**2).sum(axis=1)
     found_q, found_v, found_s = [], [], []
-    for a in range(0, len(queries), 256):
-        part = queries[a : a + 256]
-        far = tree.distances(part @ directions[:-1])
-        order = np.argsort(far, axis=1)
-        best = np.full((len(part), k), -np.inf)
-        live = np.arange(len(part))
-        for step in range(len(tree.leaves)):
-            leaf = order[live, step]
-            kth = best[live, 0]
-            # Squared distance of the k-th best, as inner products give it.
-            radius = np.maximum(greatest**2 + norms[a : a + 256][live] - 2 * kth, 1e-300)
-            go = ~np.isfinite(kth) | (1 - chi_square(np.where(np.isfinite(kth), far[live, leaf] / radius, 0)) >= MISS)
-            live, leaf = live[go], leaf[go]
-            if not len(live):
-                break
-            by = np.argsort(leaf, kind="stable")
-            cuts = np.flatnonzero(np.append(True, leaf[by][1:] != leaf[by][:-1]))
-            for i, j in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-                q, points = live[by[i:j]], tree.leaves[leaf[by[i]]]
-                scores = part[q] @ vectors[points].T
-                keep = scores >= best[q, :1]
-                qi, pi = np.nonzero(keep)
-                found_q.append(q[qi] + a)
-                found_v.append(points[pi])
-                found_s.append(scores[qi, pi])
-                best[q] = np.partition(np.hstack([best[q], scores]), scores.shape[1], axis=1)[:, -k:]
-                best[q, 0], best[q, np.argmin(best[q], axis=1)] = best[q].min(axis=1), best[q, 0]
+    far = tree.distances(queries @ directions[:-1])
+    order = np.argsort(far, axis=1)
+    best = np.full((len(queries), k), -np.inf)  # the first column is the k-th best
+    live = np.arange(len(queries))
+    for step in range(len(tree.leaves)):
+        leaf, kth = order[live, step], best[live, 0]
+        # Squared distance of the k-th best, as inner products give it.
+        known = np.isfinite(kth)
+        radius = np.maximum(greatest**2 + norms[live] - 2 * np.where(known, kth, 0), 1e-300)
+        go = ~known | (1 - chi_square(far[live, leaf] / radius) >= MISS)
+        live, leaf = live[go], leaf[go]
+        if not len(live):
+            break
+        # Queries that stand at the same leaf verify it together.
+        by = np.argsort(leaf, kind="stable")
+        cuts = np.flatnonzero(np.append(True, leaf[by][1:] != leaf[by][:-1]))
+        for i, j in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
+            q, points = live[by[i:j]], tree.leaves[leaf[by[i]]]
+            scores = queries[q] @ vectors[points].T
+            qi, pi = np.nonzero(scores >= best[q, :1])
+            found_q.append(q[qi])
+            found_v.append(points[pi])
+            found_s.append(scores[qi, pi])
+            if len(pi):
+                both = np.hstack([best[q], scores])
+                top = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]  # its first is the least of the k
+                best[q] = top
     if not found_q:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     return np.concatenate(found_q), np.concatenate(found_v), np.concatenate(found_s)
