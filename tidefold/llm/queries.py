@@ -10,12 +10,14 @@ from tidefold.llm.neighbours import op8_nearest_neighbours
 from tidefold.llm.packing import op4_best_fit_packing
 from tidefold.llm.ppm import op2_ppm_score
 from tidefold.llm.secrets import op1_secret_scan
+from tidefold.llm.suffixes import op7_repeated_passages
 from tidefold.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_edit_fingerprint": op6_edit_fingerprint,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
