@@ -86,16 +86,22 @@ def integer_to_boolean(c: Column) -> Column:
     return F.when(c.isNull(), None).when(trim(c) == "1", True).when(trim(c) == "0", False).otherwise(_fail("not 0 or 1", c).cast("boolean"))
 
 
+def is_json(c: Column) -> Column:
+    """Whether the whole text is one JSON value. The parser stops after a value, so the text is tried inside an array and inside an object: what follows a value breaks one of them."""
+    wrapped = [F.concat(F.lit(a), c, F.lit(b)) for a, b in (("[", "]"), ('{"a":', "}"))]
+    return F.try_parse_json(wrapped[0]).isNotNull() & F.try_parse_json(wrapped[1]).isNotNull()
+
+
 def checked_json(c: Column) -> Column:
     """Trimmed text that is valid JSON, else an error."""
     t = trim(c)
-    return F.when(c.isNull(), None).when(F.try_parse_json(t).isNotNull(), t).otherwise(_fail("not JSON", c))
+    return F.when(c.isNull(), None).when(is_json(t), t).otherwise(_fail("not JSON", c))
 
 
 def json_compact(c: Column) -> Column:
     """White space between tokens removed; key order, numbers and strings stay as written. Invalid text is an error."""
     token = r"""("(?:[^"\\]|\\.)*+")|[ \t\r\n]+"""
-    return F.when(c.isNull(), None).when(F.try_parse_json(c).isNotNull(), F.regexp_replace(c, token, "$1")).otherwise(_fail("not JSON", c))
+    return F.when(c.isNull(), None).when(is_json(c), F.regexp_replace(c, token, "$1")).otherwise(_fail("not JSON", c))
 
 
 def guarded_date(c: Column) -> Column:
