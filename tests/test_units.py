@@ -164,3 +164,50 @@ def test_entry(spark):
 
     rows = entry.entry(spark).collect()
     assert len(rows) >= 3 and {r.status for r in rows} == {"SUCCESS"}
+
+
+def test_json_patch_refusals():
+    from tidefold.functions.jsondiff import patch
+
+    for edit in (("REPLACE", "$.b", "1"), ("REMOVE", "$.b", None), ("INSERT", "$.a", "1"), ("MOVE", "$.a", None), ("REPLACE", "a", "1")):
+        with pytest.raises(ValueError):
+            patch('{"a":1}', [edit])
+    assert patch('{"a":{"b c":[1]}}', [("REPLACE", '$.a."b c"[0]', "null")]) == '{"a":{"b c":[null]}}'
+
+
+def test_jdbc_predicates_and_sinks():
+    from tidefold.sources import jdbc, sinks
+
+    assert jdbc.range_predicates("id", [(1, 5), (6, 9)]) == ["id >= 1 AND id <= 5", "id >= 6 AND id <= 9"]
+    assert len(jdbc.bucket_predicates("postgres", ["a", "b"], 4)) == 4 and jdbc.bucket_predicates("oracle", ["a"], 4)[3].endswith(", 3) = 3")
+    assert sinks.upsert_statement("postgres", "t", ["a"], ["a"]).endswith("DO NOTHING")
+    assert sinks.upsert_statement("mysql", "t", ["a"], []) == "INSERT INTO `t` (`a`) VALUES (?)"
+    assert sinks.delete_statement("oracle", "t", ["a", "b"]) == 'DELETE FROM "t" WHERE "a" = ? AND "b" = ?'
+    with pytest.raises(ValueError):
+        jdbc.quoted("mysql", "a`b")
+
+
+def test_sink_is_idempotent(spark, tmp_path):
+    import sqlite3
+
+    from tidefold.sources import sinks
+
+    path = str(tmp_path / "t.db")
+    with sqlite3.connect(path) as c:
+        c.execute('CREATE TABLE "t" ("a" INTEGER PRIMARY KEY, "b" TEXT)')
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string").coalesce(1)
+    for _ in range(2):
+        sinks.write(df, lambda: sqlite3.connect(path), sinks.upsert_statement("postgres", "t", ["a", "b"], ["a"]))
+    with sqlite3.connect(path) as c:
+        assert c.execute("SELECT a, b FROM t ORDER BY a").fetchall() == [(1, "x"), (2, "y")]
+
+
+def test_drop_folder(spark, tmp_path):
+    from tidefold.sources.streams import drop_folder
+    from tidefold.streaming.apply import run_batches
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"before":null,"after":{"id":1},"op":"c","source":{"lsn":1}}\n')
+    seen = []
+    run_batches(cdc.debezium(drop_folder(spark, str(tmp_path / "in"))), lambda b, n: seen.extend(b.collect()), str(tmp_path / "c"))
+    assert [r.operation for r in seen] == ["INSERT"]

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from tidefold.plans import analytics, changes, snapshot  # noqa: E402, F401
+from tidefold.plans import analytics, changes, operations, snapshot  # noqa: E402, F401
