@@ -84,5 +84,20 @@ def test_pack_documents(spark):
     assert len(sequences) == best_fit([r.length for r in rows], 2048)[0]
 
 
+def test_classes_ranked_in_groups(spark, monkeypatch):
+    rows = [(i, 0, 7 if i % 3 else 5, i) for i in range(9000)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long")
+    packed = packing.pack(items, 64).collect()
+    used = defaultdict(list)
+    for r in packed:
+        used[r.sequence_id].append((r.offset, r.length))
+    for parts in used.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+    assert len(packed) == 9000 and len(used) == best_fit([r[2] for r in rows], 64)[0]
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []

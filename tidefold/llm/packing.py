@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import prepare, table
+from tidefold.llm.common import partitions, prepare, table
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a Python worker remembers, a bound on memory alone.
 REMEMBERED = 400_000
-#: Rows of one length that are ranked in one window group, about.
-RANKED = 200_000
+#: A class of one length is ranked in groups of about a task's share of all rows over this, in 256 groups at most.
+SHARE = 4
 
 _encoders: dict[str, _Encoder] = {}
 
@@ -199,7 +199,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     counts = {int(r["length"]): int(r["n"]) for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     if any(not 0 < x <= capacity for x in counts):
         raise ValueError("a length is outside 1 to capacity")
-    buckets = max(1, min(256, max(counts.values(), default=0) // RANKED + 1))
+    group = max(1_000, sum(counts.values()) // (SHARE * partitions(spark)))
+    buckets = max(1, min(256, max(counts.values(), default=0) // group + 1))
     bucketed = items.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     ranked = bucketed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)) - 1)
     if buckets == 1:
