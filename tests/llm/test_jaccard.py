@@ -48,8 +48,11 @@ def corpus(seed):
     return [(i * 7 % 1009, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("seed,n,percent", [(1, 4, 85), (2, 5, 80)])
-def test_link_equals_brute_force(spark, seed, n, percent):
+@pytest.mark.parametrize("seed,n,percent,cluster", [(1, 4, 85, 1 << 30), (2, 5, 80, 1 << 30), (3, 4, 85, 300)])
+def test_link_equals_brute_force(spark, monkeypatch, seed, n, percent, cluster):
+    """With a small CLUSTER the larger clusters are verified by joins."""
+    monkeypatch.setattr(jaccard, "CLUSTER", cluster)
+    monkeypatch.setattr(jaccard, "GROUP", 2000)
     docs = corpus(seed)
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, vertex string").repartition(3)
     assert sorted(map(tuple, jaccard.link(frame, n, percent).collect())) == brute(docs, n, percent)

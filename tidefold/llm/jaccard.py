@@ -9,13 +9,17 @@ most one difference, so two of its parts are equal, and each choice of two
 parts of a group is a signature. Similar sets share one without exception;
 candidates are verified on the whole sets.
 
-Copies of a set are one vertex from the start. A bucket of a signature is not
-expanded into pairs: first its members are compared with the bucket's most
-central member (the one that meets most others); components of those links
-are found; then only pairs of a bucket that still lie in different components
-are compared, so no link between components is lost. Signatures travel packed
-by shard, 6 bytes each; sets travel only for vertices with candidates, which a
-bit map of fixed size selects.
+Copies of a set are one vertex from the start. The buckets of signatures make
+clusters: vertices that candidates join, directly or not. A cluster's texts
+are sent once to the task that verifies it, where a bucket's members are first
+compared with its most central one (the one that meets most others) and then
+only pairs that still lie in different components, so no link between
+components is lost and a group of copies costs one comparison a member. A
+cluster of more than CLUSTER shingles does not go to one task: its pairs are
+verified by joins, in the same two steps, and components are found by
+alternating stars. Signatures travel packed by shard, 6 bytes each; texts
+travel only for vertices with candidates, which a bit map of fixed size
+selects.
 
 Defined cases: null text and text without words have an empty set and are
 linked with nothing; fewer words than a shingle are one shingle; equal ids are
@@ -43,6 +47,8 @@ PERCENT = 80
 MAP_BITS = 1 << 24
 _NULL = (1 << 63) - 1
 _PART = 700_000
+#: Shingles of a cluster that one task takes, and of the clusters of one group.
+CLUSTER, GROUP = 3_000_000, 1_500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -155,35 +161,42 @@ def _eight(x: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+_SENT = "shard int, sigs binary, names binary, sizes binary, counts binary"
+
+
 def _send(n: int, percent: int, shards: int):
-    """Signatures of each distinct set of a task, packed by shard."""
+    """Signatures of each distinct set of a task, packed by shard; in shard -1 the ids, vertices and sizes of all documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, done = Bands(percent), set()
-        for _, sets in _read(batches, n):
-            fresh = []
-            for s in sets:
-                if len(s) and (v := vertex(s)) not in done:
-                    done.add(v)
-                    fresh.append((v, s))
-            if not fresh:
-                continue
-            names, sizes = np.array([v for v, _ in fresh], np.int64), np.array([len(s) for _, s in fresh], np.uint32)
-            sig, own = signatures([s for _, s in fresh], bands)
-            shard = (sig >> np.uint64(48)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            sig, own, cuts = sig[order], own[order], np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = []
-            for x in range(shards):
-                a, b = cuts[x], cuts[x + 1]
-                if a < b:
-                    who, counts = np.unique(own[a:b], return_counts=True)
-                    rows.append((x, _six(sig[a:b]), names[who].tobytes(), sizes[who].tobytes(), counts.astype(np.uint32).tobytes()))
+        for ids, sets in _read(batches, n):
+            every = [vertex(s) if len(s) else 0 for s in sets]
+            rows = [(-1, np.array(ids, np.int64).tobytes(), np.array(every, np.int64).tobytes(), np.array([len(s) for s in sets], np.int64).tobytes(), None)]
+            fresh = {v: s for v, s in zip(every, sets, strict=True) if len(s) and v not in done}
+            done.update(fresh)
+            if fresh:
+                names, sizes = np.array(list(fresh), np.int64), np.array([len(s) for s in fresh.values()], np.uint32)
+                sig, own = signatures(list(fresh.values()), bands)
+                shard = (sig >> np.uint64(48)) % np.uint64(shards)
+                order = np.argsort(shard, kind="stable")
+                sig, own, cuts = sig[order], own[order], np.searchsorted(shard[order], np.arange(shards + 1))
+                for x in range(shards):
+                    a, b = cuts[x], cuts[x + 1]
+                    if a < b:
+                        who, counts = np.unique(own[a:b], return_counts=True)
+                        rows.append((x, _six(sig[a:b]), names[who].tobytes(), sizes[who].tobytes(), counts.astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["shard", "sigs", "names", "sizes", "counts"])
 
     return send
 
 
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, names, sizes in zip(*(batch.column(c) for c in ("sigs", "names", "sizes")), strict=True):
+            v, n = np.frombuffer(names.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_py(), np.int64)), pa.array(n), pa.array(v, mask=n == 0)], ["doc_id", "n_shingles", "vertex"])
+
+
 def _buckets(percent: int):
     """Of a shard: buckets of two or more vertices, each list of members once, with a member's centrality there."""
     schema = pa.schema([("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("centre", pa.int64())])
@@ -219,29 +232,81 @@ def _buckets(percent: int):
     return buckets
 
 
-def _facts(n: int):
-    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _read(batches, n):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([vertex(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "vertex"])
-
-    return facts
-
+def _picked(shared):
+    """Rows whose slot is in the bit map."""
 
-def _chosen(n: int, shared):
-    """vertex and set (sorted 64-bit hashes) of the documents whose id is in the bit map."""
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool))).select(["doc_id", "text"])
 
-        def picked() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column("slot").to_numpy()
-                yield batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+    return picked
 
-        for _, sets in _read(picked(), n):
-            yield pa.RecordBatch.from_arrays([pa.array([vertex(s) for s in sets if len(s)], pa.int64()), pa.array([s.tobytes() for s in sets if len(s)], pa.binary())], ["vertex", "held"])
 
-    return chosen
+def _held(n: int):
+    """vertex and its set; a row whose text is not its vertex's (ids that repeat) is left out."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), n) for t in batch.column("text")]
+            use = [(v, s.tobytes()) for v, s in zip(batch.column("vertex").to_pylist(), sets, strict=True) if len(s) and vertex(s) == v]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in use], pa.int64()), pa.array([s for _, s in use], pa.binary())], ["vertex", "held"])
+
+    return held
+
+
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = np.sort(np.concatenate([s, t]), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(s) + len(t) - same)
+
+
+def _cluster(n: int, percent: int):
+    """Of whole clusters: each vertex with the least of its component, but for those least ones."""
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+    def cluster(texts: pa.Table, buckets: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        for v, t in zip(texts.column("vertex").to_pylist(), texts.column("text"), strict=True):
+            if v not in sets and vertex(s := shingles(t.as_py(), n)) == v:
+                sets[v] = s
+        parent = {v: v for v in sets}
+        compared: set[tuple[int, int]] = set()
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def compare(x: int, y: int) -> None:
+            a, b = find(x), find(y)
+            if a != b and (pair := (min(x, y), max(x, y))) not in compared:
+                compared.add(pair)
+                if similar(sets[x], sets[y], percent):
+                    parent[max(a, b)] = min(a, b)
+
+        open_ = []
+        for members, centre in zip(buckets.column("members"), buckets.column("centre").to_pylist(), strict=True):
+            names = members.values.to_pylist()
+            for x in names:
+                compare(centre, x)
+            open_.append(names)
+        for names in open_:
+            roots = [find(x) for x in names]
+            if len(set(roots)) > 1:
+                largest = max(set(roots), key=roots.count)
+                for x in [x for x, r in zip(names, roots, strict=True) if r != largest]:
+                    for y in names:
+                        compare(x, y)
+        moved = [(v, r) for v in parent if (r := find(v)) != v]
+        return pa.table([[v for v, _ in moved], [r for _, r in moved]], schema=schema)
+
+    return cluster
 
 
 def _map(ids: DataFrame) -> bytes:
@@ -263,11 +328,7 @@ def _map(ids: DataFrame) -> bytes:
 def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                s, t = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
@@ -304,49 +365,66 @@ def _two(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
 
-def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs: doc_id, text. Per row: doc_id, n_shingles and component_id (the least id reachable by links)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string"))
-    facts = docs.mapInArrow(_facts(words), "doc_id bigint, n_shingles bigint, vertex bigint").checkpoint()
-    shards = partitions(spark)
-    sent = docs.mapInArrow(_send(words, percent, shards), "shard int, sigs binary, names binary, sizes binary, counts binary")
-    buckets = sent.groupBy("shard").applyInArrow(_buckets(percent), "members array<bigint>, sizes array<bigint>, centre bigint").checkpoint()
-    stars = buckets.mapInArrow(_pairs(percent, True), "a bigint, b bigint").distinct().checkpoint()
-
-    # The set of each vertex in a pair, from one of its documents.
-    least = facts.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    asked = buckets.select(F.explode("members").alias("vertex")).distinct()
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    wanted = least.join(asked, "vertex", "left_semi").select(slot.alias("slot"))
-    shared = spark.sparkContext.broadcast(_map(wanted))
-    sets = docs.withColumn("slot", slot).mapInArrow(_chosen(words, shared), "vertex bigint, held binary")
-    sets = sets.join(asked, "vertex", "left_semi").groupBy("vertex").agg(F.min("held").alias("held"))
+def _by_joins(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, root of the components of buckets whose sets do not fit one task."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("vertex").alias("a"), F.col("held").alias("x")), sets.select(F.col("vertex").alias("b"), F.col("held").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
 
-    # Vertices of one id are one vertex.
-    shared_ids = facts.where("vertex IS NOT NULL").groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b")
-    alike = facts.where("vertex IS NOT NULL").join(shared_ids.select("doc_id", "a"), "doc_id").select("a", F.col("vertex").alias("b")).where("a <> b")
-    links = verified(stars).unionByName(alike).checkpoint()
-    roots = components(links)
-
-    # Buckets that still hold several components.
-    numbered = buckets.withColumn("bucket", F.xxhash64("members")).select("bucket", "members", "sizes", "centre").dropDuplicates(["bucket"])
+    stars = buckets.mapInArrow(_pairs(percent, True), "a bigint, b bigint").distinct().checkpoint()
+    roots = components(verified(stars).checkpoint())
+    numbered = buckets.withColumn("bucket", F.xxhash64("members"))
     member = numbered.select("bucket", F.posexplode("members").alias("i", "node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sort_array(F.collect_list(F.struct("i", "root"))).alias("r")).where("low <> high")
     open_ = numbered.join(several, "bucket").select("members", "sizes", "centre", F.transform("r", lambda r: r["root"]).alias("roots"))
     rest = open_.mapInArrow(_pairs(percent, False), "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
-    if rest.take(1):
-        roots = components(verified(rest).union(roots.select("node", "root")))
+    return components(verified(rest).union(roots.select("node", "root")))
+
+
+def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs: doc_id, text. Per row: doc_id, n_shingles and component_id (the least id reachable by links)."""
+    spark = docs.sparkSession
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string"))
+    sent = docs.mapInArrow(_send(words, percent, partitions(spark)), _SENT).checkpoint()
+    facts = sent.where("shard = -1").mapInArrow(_facts, "doc_id bigint, n_shingles bigint, vertex bigint")
+    buckets = sent.where("shard >= 0").groupBy("shard").applyInArrow(_buckets(percent), "members array<bigint>, sizes array<bigint>, centre bigint")
+    buckets = buckets.dropDuplicates(["members"]).checkpoint()
+
+    # Clusters of candidates, their sizes, and the group of clusters that a task takes.
+    member = buckets.select(F.explode(F.arrays_zip("members", "sizes")).alias("m"), "centre").select(F.col("m.members").alias("vertex"), F.col("m.sizes").alias("size"), "centre")
+    near = components(member.select(F.col("vertex").alias("a"), F.col("centre").alias("b")))
+    least = facts.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")).checkpoint()
+    asked = member.groupBy("vertex").agg(F.max("size").alias("size")).join(near.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    weight = asked.groupBy("root").agg(F.sum("size").alias("weight"))
+    asked = asked.join(weight, "root").join(least, "vertex").select("vertex", "doc_id", "root", "size", "weight").checkpoint()
+    total, heaviest = (int(x or 0) for x in asked.agg(F.sum("size"), F.max("weight")).first())
+    groups = -(-total // GROUP) or 1
+    group = F.pmod(F.xxhash64("root"), F.lit(groups)).cast("int")
+
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    shared = spark.sparkContext.broadcast(_map(asked.select(slot.alias("slot"))))
+    texts = docs.withColumn("slot", slot).mapInArrow(_picked(shared), "doc_id bigint, text string").join(asked, "doc_id")
+    rooted = buckets.join(asked.select(F.col("vertex").alias("centre"), "root", "weight"), "centre")
+    light = F.col("weight") <= CLUSTER
+    left = texts.where(light).select("vertex", "text", group.alias("group"))
+    right = rooted.where(light).select("members", "centre", group.alias("group"))
+    roots = left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(_cluster(words, percent), "node bigint, root bigint")
+    if heaviest > CLUSTER:
+        sets = texts.where(~light).select("vertex", "text").mapInArrow(_held(words), "vertex bigint, held binary").groupBy("vertex").agg(F.min("held").alias("held"))
+        roots = roots.union(_by_joins(rooted.where(~light).select("members", "sizes", "centre"), sets, percent))
+    roots = roots.checkpoint()
+
+    # Vertices of one id are one vertex.
+    shared_ids = facts.where("vertex IS NOT NULL").groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b")
+    alike = facts.where("vertex IS NOT NULL").join(shared_ids.select("doc_id", "a"), "doc_id").select("a", F.col("vertex").alias("b")).where("a <> b").checkpoint()
+    if alike.take(1):
+        roots = components(alike.union(roots))
 
     # Ids: the least of each vertex, then of each component.
-    rooted = least.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(lowest, "root").select("vertex", "component_id")
-    out = facts.join(named, "vertex", "left")
+    named = least.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = facts.join(named.join(lowest, "root").select("vertex", "component_id"), "vertex", "left")
     null = lambda c: F.when(c != _NULL, c)
     return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
