@@ -211,3 +211,28 @@ def test_drop_folder(spark, tmp_path):
     seen = []
     run_batches(cdc.debezium(drop_folder(spark, str(tmp_path / "in"))), lambda b, n: seen.extend(b.collect()), str(tmp_path / "c"))
     assert [r.operation for r in seen] == ["INSERT"]
+
+
+def test_mapping():
+    from tidefold.operators.mapping import Column, Table, TableMapping, resolve, stable_key
+
+    a = Table("app", "a", (Column("x"), Column("y", nullable=False), Column("z", False, True)), (), (("x",), ("y", "z"), ("Y",)))
+    b = Table("app", "b", primary_key=("id",))
+    assert stable_key(a) == ("Y",) and stable_key(b) == ("id",)
+    with pytest.raises(ValueError):
+        stable_key(Table("app", "c", (Column("x"),), (), (("x",),)))
+    assert [t.name for t, *_ in resolve([a, b, Table("s", "c")], [], "app")] == ["a", "b"]
+    assert resolve([a, b], [TableMapping("b", target_table="bb")], "app") == [(b, "app", "bb")]
+    with pytest.raises(ValueError):
+        resolve([a], [TableMapping("q")], "app")
+
+
+def test_rename_refusals(spark):
+    from tidefold.operators.mapping import align, rename
+
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    for bad in ({"c": "d"}, {"a": "B"}):
+        with pytest.raises(ValueError):
+            rename(df, bad)
+    with pytest.raises(ValueError):
+        align(df, {"z": "int"})

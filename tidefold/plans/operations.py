@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidefold.functions import jsondiff, rules
-from tidefold.operators import health, perfmodel
+from tidefold.operators import health, mapping, perfmodel
 from tidefold.plans.analytics import _CHUNKS, chunks
 from tidefold.plans.registry import query
 from tidefold.sources import sinks
@@ -137,3 +137,26 @@ def _(spark, d):
 @query("create_table", """SELECT 'CREATE TABLE "nation" ("n_nationkey" number(10) NOT NULL, "n_name" clob, "n_regionkey" number(10), PRIMARY KEY ("n_nationkey"))' AS sql""")
 def _(spark, d):
     return spark.createDataFrame([(sinks.create_table("oracle", "nation", table(spark, d, "nation").schema, ["n_nationkey"]),)], "sql string")
+
+
+@query("align_target", "SELECT c_name AS name, c_custkey::INTEGER AS id, c_nationkey::VARCHAR AS balance FROM customer")
+def _(spark, d):
+    renamed = mapping.rename(table(spark, d, "customer"), {"C_CUSTKEY": "id", "c_name": "name", "c_nationkey": "balance"}, generated=["c_acctbal"])
+    return mapping.align(renamed, {"name": "string", "id": "int", "balance": "string"})
+
+
+@query("spool_scan", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND event_id > 100 ORDER BY event_id LIMIT 64")
+def _(spark, d):
+    return table(spark, d, "events").where("event_type = 'purchase' AND event_id > 100").orderBy("event_id").limit(64).select("event_id", "user_id")
+
+
+@query("report_rows", f"""SELECT '{{"table_id":' || table_id || ',"chunks":' || count(*) || ',"done":' || count(*) FILTER (WHERE status = 'SUCCESS') || '}}' AS line FROM {_CHUNKS} GROUP BY table_id""")
+def _(spark, d):
+    counted = chunks(spark, d).groupBy("table_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("status") == "SUCCESS").alias("done"))
+    return counted.select(F.to_json(F.struct("table_id", "chunks", "done")).alias("line"))
+
+
+@query("rate_budgets", "SELECT user_id, least(sum(bytes), 40000)::BIGINT AS granted, greatest(sum(bytes) - 40000, 0)::BIGINT AS held FROM (SELECT user_id, event_id * 91 % 5000 AS bytes FROM events) GROUP BY 1")
+def _(spark, d):
+    asked = table(spark, d, "events").groupBy("user_id").agg(F.sum(F.col("event_id") * 91 % 5000).alias("b"))
+    return asked.select("user_id", F.least("b", F.lit(40000)).cast("bigint").alias("granted"), F.greatest(F.col("b") - 40000, F.lit(0)).cast("bigint").alias("held"))
