@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidefold.llm import suffixes as S
 
@@ -37,7 +38,10 @@ def corpus(seed):
     return docs
 
 
-def test_query_equals_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, hot):
+    """With a small HOT the windows of common anchors are compared by hash."""
+    monkeypatch.setattr(S, "HOT", hot)
     for seed in (1, 2):
         docs = corpus(seed)
         spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, node long").repartition(3).write.parquet(f"{tmp_path}/{seed}/documents.parquet")

@@ -15,6 +15,11 @@ anchor in a text form a run, and the run's bytes its context.
    previous and next factor; a window with either is repeated.
 3. Each text with such windows is read again and loses the bytes they cover.
 
+An anchor with more than HOT contexts (the ends of a passage that very many
+texts hold) is not sorted in one task: its windows are told apart by two
+64-bit hashes, dealt by hash, and their answers are gathered by text, all as
+packed arrays, so no task gets more than its share.
+
 Windows that repeat inside one text are found there; only their first goes to
 the corpus. ``previous_factors`` is the same computation for one text, with
 exact lengths, and ``keep_first`` removes later copies alone.
@@ -43,6 +48,8 @@ from tidefold.llm.common import partitions, prepare, table
 
 LEAST = 400
 GRAM = 200
+#: Contexts of an anchor that one task sorts; beyond, its windows are compared by hash.
+HOT = 2_000
 _SPAN = 1 << 20  # positions that are looked at together
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -90,6 +97,14 @@ class Text:
         np.cumsum(_LETTERS[own] * _UP[: len(own)], out=out[1:])
         return out
 
+    def windows(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each window that starts from low to high (included)."""
+        sums, n = self._sums(low, high + 1), high - low + 1
+        own = (sums[LEAST:] - sums[:n]) * _DOWN[:n]
+        other = np.zeros(len(sums), np.uint64)
+        np.cumsum(_mix(_LETTERS[self.data[low : high + LEAST]]) * _DOWN[: n + LEAST - 1], out=other[1:])
+        return _mix(own), _mix((other[LEAST:] - other[:n]) * _UP[:n] ^ np.uint64(0x2545F4914F6CDD1D))
+
     def _span(self, a: int, b: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Runs of the windows that start from a up to b; keep: which of these count."""
         sums, n = self._sums(a, b), b - a
@@ -251,8 +266,8 @@ def _send(shards: int):
     return send
 
 
-#: What is known of a run: every window repeats; its context goes to the suffix sort.
-_WHOLE, _SORT = 1, 2
+#: What is known of a run: every window repeats; its context goes to the suffix sort; its windows go by hash.
+_WHOLE, _SORT, _HASH = 1, 2, 4
 
 
 def _meet(rows: pa.Table) -> pa.Table:
@@ -276,32 +291,57 @@ def _meet(rows: pa.Table) -> pa.Table:
     new_context = new_anchor | np.append(True, context[1:] != context[:-1])[: len(anchor)]
     copies = np.bincount(of(new_context))[of(new_context)] if len(anchor) else anchor
     contexts = np.bincount(of(new_anchor), new_context)[of(new_anchor)] if len(anchor) else anchor
-    flag = (_WHOLE * (copies > 1) + _SORT * (new_context & (contexts > 1))).astype(np.uint8)
+    flag = (_WHOLE * (copies > 1) + np.where(contexts > HOT, _HASH, _SORT) * (new_context & (contexts > 1))).astype(np.uint8)
     use = flag > 0
     node, number, flag = node[use], number[use], flag[use]
     order = np.lexsort((number, node))
     node, number, flag = node[order], number[order], flag[order]
     first = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
     ends = np.append(first[1:], len(node))
-    out = [(int(node[a]), number[a:b].tobytes(), flag[a:b].tobytes(), bool((flag[a:b] & _SORT).any())) for a, b in zip(first, ends, strict=True)]
+    out = [(int(node[a]), number[a:b].tobytes(), flag[a:b].tobytes(), bool((flag[a:b] & (_SORT | _HASH)).any())) for a, b in zip(first, ends, strict=True)]
     out += [(int(n), b"", b"", False) for n in alone]
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
     return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, kinds, strict=True)], ["node", "numbers", "flags", "sorts"])
 
 
 def _contexts(shards: int):
+    """Contexts of runs to sort, and, in rows without an anchor, packed hashes of the windows of runs to hash."""
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[tuple]:
+            if held:
+                columns = [np.concatenate([h[i] for h in held]) for i in range(4)]
+                shard = columns[0] % np.uint64(shards)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                for x in range(shards):
+                    own = order[cuts[x] : cuts[x + 1]]
+                    if len(own):
+                        yield x, None, None, None, b"".join(c[own].tobytes() for c in columns)
+                held.clear()
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["shard", "anchor", "node", "low", "context"])
+
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for node, cell, numbers, flags in zip(batch.column("node").to_pylist(), batch.column("text"), batch.column("numbers").to_pylist(), batch.column("flags").to_pylist(), strict=True):
                 data = _bytes(cell)
                 t = Text(data)
                 for number, flag in zip(*_joined(numbers, flags), strict=True):
+                    low, high = int(t.low[number]), int(t.high[number])
                     if flag & _SORT:
-                        low, high = int(t.low[number]), int(t.high[number])
                         rows.append((int(t.anchor[number] % np.uint64(shards)), int(t.anchor[number].view(np.int64)), node, low, data[low : high + LEAST]))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["shard", "anchor", "node", "low", "context"])
+                    elif flag & _HASH:
+                        n = high - low + 1
+                        held.append((*t.windows(low, high), np.full(n, node, np.int64), np.arange(low, high + 1)))
+            if sum(len(h[0]) for h in held) > 500_000:
+                rows += flush()
+            yield batch_of(rows)
+        yield batch_of(list(flush()))
 
     return contexts
 
@@ -310,31 +350,69 @@ def _joined(numbers: list[bytes], flags: list[bytes]) -> tuple[list[int], list[i
     return np.frombuffer(b"".join(numbers), np.uint32).tolist(), np.frombuffer(b"".join(flags), np.uint8).tolist()
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts in order of their anchors, sorted some megabytes (whole anchors) at a time: runs of repeated windows of each text."""
-    held: list[tuple[int, int, bytes]] = []
-    size, last = 0, None
+_SORTED = "node bigint, low bigint, high bigint, home int, packed binary"
+
 
-    def flush() -> pa.RecordBatch:
-        nodes, lows, highs = [], [], []
+def _sort(shards: int):
+    """Contexts in order of their anchors, sorted some megabytes (whole anchors) at a time: runs of repeated windows of each text. Of hashed windows, the repeated ones, packed by the home of their text."""
+
+    def answer(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["node", "low", "high", "home", "packed"])
+
+    def sort(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        rows = []
         for (node, low, _), starts in zip(held, repeated_windows([h[2] for h in held]) if len(held) > 1 else [np.zeros(0, np.int64)] * len(held), strict=True):
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) != 1)
-                for a, b in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True):
-                    nodes.append(node)
-                    lows.append(low + int(a))
-                    highs.append(low + int(b))
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], ["node", "low", "high"])
-
-    for batch in batches:
-        for anchor, node, low, context in zip(*(batch.column(c).to_pylist() for c in ("anchor", "node", "low", "context")), strict=True):
-            if anchor != last and size > 1_000_000:
-                yield flush()
-                held, size = [], 0
-            last = anchor
-            held.append((node, low, context))
-            size += len(context)
-    yield flush()
+                rows += [(node, low + int(a), low + int(b), None, None) for a, b in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True)]
+        return answer(rows)
+
+    def meet(packed: list[bytes]) -> pa.RecordBatch:
+        parts = [np.frombuffer(p, np.uint64).reshape(4, -1) for p in packed]
+        one, two, node, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.lexsort((two, one))
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        again = np.zeros(len(one), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        node, place = node[again].view(np.int64), place[again]
+        home = node % shards
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.arange(shards + 1))
+        return answer([(None, None, None, x, node[own].tobytes() + place[own].tobytes()) for x in range(shards) if len(own := order[cuts[x] : cuts[x + 1]])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        packed: list[bytes] = []
+        size, last = 0, None
+        for batch in batches:
+            for anchor, node, low, context in zip(*(batch.column(c).to_pylist() for c in ("anchor", "node", "low", "context")), strict=True):
+                if node is None:
+                    packed.append(context)
+                    continue
+                if anchor != last and size > 1_000_000:
+                    yield sort(held)
+                    held, size = [], 0
+                last = anchor
+                held.append((node, low, context))
+                size += len(context)
+        yield sort(held)
+        if packed:
+            yield meet(packed)
+
+    return run
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """Of the texts of one home: runs of repeated windows."""
+    parts = [np.frombuffer(p.as_py(), np.int64).reshape(2, -1) for p in rows.column("packed")]
+    node, place = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.lexsort((place, node))
+    node, place = node[order], place[order]
+    new = np.append(True, (node[1:] != node[:-1]) | (np.diff(place) != 1))[: len(node)]
+    first = np.flatnonzero(new)
+    low, high, own = place[first], place[np.append(first[1:], len(node)) - 1], node[first]
+    return pa.table([own, low, high], ["node", "low", "high"])
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +454,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = met.where("sorts").select(F.col("node").alias("_n"), "_first", "numbers", "flags")
     # Rows alike in id and text may come twice here; such a text is settled already, and what others have in common with it is not changed.
     contexts = long.join(asked, same).select("node", "text", "numbers", "flags").mapInArrow(_contexts(shards), "shard int, anchor bigint, node bigint, low bigint, context binary")
-    found = contexts.repartition(shards, "shard").sortWithinPartitions("shard", "anchor").select("anchor", "node", "low", "context").mapInArrow(_sort, "node bigint, low bigint, high bigint")
+    found = contexts.repartition(shards, "shard").sortWithinPartitions("shard", "anchor").select("anchor", "node", "low", "context").mapInArrow(_sort(shards), _SORTED).checkpoint()
+    hashed = found.where("home IS NOT NULL").groupBy("home").applyInArrow(_gather, "node bigint, low bigint, high bigint")
+    found = found.where("home IS NULL").select("node", "low", "high").unionByName(hashed)
     found = found.groupBy("node").agg(F.collect_list(F.struct("low", "high")).alias("found"))
     work = met.where("copies = 1").join(found, "node", "left").select(F.col("node").alias("_n"), "_first", "numbers", "flags", "found")
     done = long.join(work, same).select("node", "text", "numbers", "flags", "found").mapInArrow(_strip, "node bigint, n_removed bigint, n_spans bigint, kept_sha256 string, edges array<bigint>")
