@@ -9,7 +9,10 @@ most one difference, so two of its parts are equal, and each choice of two
 parts of a group is a signature. Similar sets share one without exception;
 candidates are verified on the whole sets.
 
-Copies of a set are one vertex from the start. The buckets of signatures make
+Copies of a set are one vertex from the start. A bucket is first split by what
+cannot link: the sets' counts in CELLS cells of the hash domain differ by no
+more than the sets do, so pairs whose counts differ by more than the threshold
+allows are apart for certain. What is left of the buckets makes
 clusters: vertices that candidates join, directly or not. A cluster's texts
 are sent once to the task that verifies it, where a bucket's members are first
 compared with its most central one (the one that meets most others) and then
@@ -45,6 +48,8 @@ WORDS = 5
 PERCENT = 80
 #: Bits of the map that selects vertices with candidates.
 MAP_BITS = 1 << 24
+#: Cells of the hash domain in which a set's shingles are counted (up to 255).
+CELLS = 64
 _NULL = (1 << 63) - 1
 _PART = 700_000
 #: Shingles of a cluster that one task takes, and of the clusters of one group.
@@ -90,6 +95,11 @@ def vertex(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Shingles in each cell. The sum of differences of two sketches is at most the difference of the sets."""
+    return np.minimum(np.bincount((mix(s ^ _MULTIPLIERS[6]) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
 class Bands:
     """Bands of sizes for a threshold in per cent, and the greatest difference k within each."""
 
@@ -165,13 +175,13 @@ _SENT = "shard int, sigs binary, names binary, sizes binary, counts binary"
 
 
 def _send(n: int, percent: int, shards: int):
-    """Signatures of each distinct set of a task, packed by shard; in shard -1 the ids, vertices and sizes of all documents."""
+    """Signatures of each distinct set of a task, packed by shard; in shard -1 the ids, vertices, sizes and sketches of all documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, done = Bands(percent), set()
         for ids, sets in _read(batches, n):
             every = [vertex(s) if len(s) else 0 for s in sets]
-            rows = [(-1, np.array(ids, np.int64).tobytes(), np.array(every, np.int64).tobytes(), np.array([len(s) for s in sets], np.int64).tobytes(), None)]
+            rows = [(-1, np.array(ids, np.int64).tobytes(), np.array(every, np.int64).tobytes(), np.array([len(s) for s in sets], np.int64).tobytes(), b"".join(sketch(s).tobytes() for s in sets))]
             fresh = {v: s for v, s in zip(every, sets, strict=True) if len(s) and v not in done}
             done.update(fresh)
             if fresh:
@@ -197,6 +207,54 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_py(), np.int64)), pa.array(n), pa.array(v, mask=n == 0)], ["doc_id", "n_shingles", "vertex"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for names, sizes, cells in zip(*(batch.column(c) for c in ("names", "sizes", "counts")), strict=True):
+            v, n = np.frombuffer(names.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.int64)
+            rows = cells.as_py()
+            at = np.flatnonzero(n > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array([rows[i * CELLS : (i + 1) * CELLS] for i in at.tolist()], pa.binary())], ["vertex", "sketch"])
+
+
+def _split(percent: int):
+    """Buckets cut into parts between which no link is possible."""
+    schema = pa.schema([("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("centre", pa.int64())])
+
+    def split(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("bucket", "ascending"), ("vertex", "ascending")])
+        bucket, name, size, centre = (rows.column(c).to_numpy() for c in ("bucket", "vertex", "size", "centre"))
+        cells = np.frombuffer(b"".join(x.as_py() for x in rows.column("sketch")), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        out = []
+        for a, b in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist(), strict=True):
+            n, sk = size[a:b], cells[a:b]
+            part = np.arange(b - a)
+
+            def join(i: int, n=n, sk=sk, part=part) -> None:
+                most = (n + n[i]) * (100 - percent) // (100 + percent)
+                near = (np.abs(sk - sk[i]).sum(axis=1, dtype=np.int64) <= most) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                met = np.unique(part[near])
+                if len(met) > 1:
+                    part[np.isin(part, met)] = met[0]
+
+            middle = int(np.flatnonzero(name[a:b] == centre[a])[0])
+            join(middle)
+            kinds, counts = np.unique(part, return_counts=True)
+            if len(kinds) > 1:
+                largest = kinds[np.argmax(counts)]
+                for i in np.flatnonzero(part != largest).tolist():
+                    join(i)
+            for k in np.unique(part):
+                own = np.flatnonzero(part == k)
+                if len(own) > 1:
+                    out.append((name[a:b][own], n[own], int(centre[a]) if part[middle] == k else int(name[a + own[0]])))
+        if not out:
+            return schema.empty_table()
+        return pa.table([pa.array([x[i] for x in out], schema.field(i).type) for i in range(3)], schema=schema)
+
+    return split
+
+
 def _buckets(percent: int):
     """Of a shard: buckets of two or more vertices, each list of members once, with a member's centrality there."""
     schema = pa.schema([("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("centre", pa.int64())])
@@ -389,6 +447,11 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     sent = docs.mapInArrow(_send(words, percent, partitions(spark)), _SENT).checkpoint()
     facts = sent.where("shard = -1").mapInArrow(_facts, "doc_id bigint, n_shingles bigint, vertex bigint")
     buckets = sent.where("shard >= 0").groupBy("shard").applyInArrow(_buckets(percent), "members array<bigint>, sizes array<bigint>, centre bigint")
+    buckets = buckets.withColumn("bucket", F.xxhash64("members")).dropDuplicates(["bucket", "members"])
+    member = buckets.select("bucket", F.explode(F.arrays_zip("members", "sizes")).alias("m"), "centre").select("bucket", F.col("m.members").alias("vertex"), F.col("m.sizes").alias("size"), "centre")
+    cells = sent.where("shard = -1").mapInArrow(_sketches, "vertex bigint, sketch binary").groupBy("vertex").agg(F.min("sketch").alias("sketch"))
+    member = member.join(cells, "vertex").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(2 * partitions(spark))))
+    buckets = member.groupBy("part").applyInArrow(_split(percent), "members array<bigint>, sizes array<bigint>, centre bigint")
     buckets = buckets.dropDuplicates(["members"]).checkpoint()
 
     # Clusters of candidates, their sizes, and the group of clusters that a task takes.
