@@ -52,8 +52,8 @@ MAP_BITS = 1 << 24
 CELLS = 64
 _NULL = (1 << 63) - 1
 _PART = 700_000
-#: Shingles of a cluster that one task takes, and of the clusters of one group.
-CLUSTER, GROUP = 3_000_000, 1_500_000
+#: Shingles of a cluster that one task takes (80 MB as sets), and of the clusters of one group.
+CLUSTER, GROUP = 10_000_000, 1_500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
