@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written and read again.
 
 Toxic documents go, repeated chunks of lines go, one document of each group of
-near duplicates stays, sources are mixed to their target weights, and what is
+near duplicates stays and loses what other passages of two lines or more it
+repeats (after near copies, which would no longer look alike), sources are mixed to their target weights, and what is
 left is packed into sequences.
 """
 
@@ -24,7 +25,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(spark, docs)
+    return lines.strip_passages(spark, jaccard.one_of_each(spark, docs).checkpoint())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

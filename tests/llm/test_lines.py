@@ -71,3 +71,52 @@ def test_pipeline_form_and_empty(spark):
     assert {r.doc_id for r in out.collect()} == {1, 3, 4}
     assert lines.strip_documents(spark, docs.limit(0)).collect() == []
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
+def windows(text):
+    rows = text.split("\n")
+    full = [i for i, x in enumerate(rows) if x.strip(" ")]
+    return [(a, b, "\n".join(rows[a : b + 1])) for a, b in zip(full, full[1:])]
+
+
+def brute_passages(docs):
+    first, out = {}, {}
+    for d in sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d[0] or 0, signed(h64(d[1].encode())))):
+        for k, (_, _, w) in enumerate(windows(d[1])):
+            first.setdefault(w, []).append((d, k))
+    for d in {d for d in docs if d[1] is not None}:
+        cover = {True: set(), False: set()}
+        for k, (a, b, w) in enumerate(windows(d[1])):
+            if len(first[w]) > 1:
+                cover[first[w][0] == (d, k)].update(range(a, b + 1))
+        gone = cover[False] - cover[True]
+        out[d] = "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone)
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    docs = corpus() + [(910, "same\n" * 5), (911, "a b\n\n \nc d\nown 911"), (912, "own 912\na b\n\n \nc d")]
+    kept = brute_passages(docs)
+    got = sorted(((r.doc_id, r.text, r.n_lines_removed) for r in lines.dedup_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    expect = [(i, kept.get((i, t)), 0 if t is None or kept[i, t] == t else len(t.split("\n")) - (len(kept[i, t].split("\n")) if kept[i, t] else 0)) for i, t in docs]
+    assert [g[:2] for g in got] == [e[:2] for e in sorted(expect, key=str)]
+    assert kept[910, "same\n" * 5] == "same\nsame\n" and kept[912, docs[-1][1]] == "own 912"
+
+
+def planted(rng, n=240):
+    """Passages of 2 to 6 lines between differing neighbours, each in two documents, and the lines that must go."""
+    own = lambda tag, k: [f"{tag} line {j} {rng.random()}" for j in range(k)]
+    docs, gone = [], {}
+    for p in range(n):
+        passage = own(f"passage {p}", 2 + p % 5)
+        for i in (p, n + p):
+            docs.append((i, "\n".join(own(f"before {i}", rng.randint(1, 8)) + passage + own(f"after {i}", rng.randint(1, 8)))))
+        gone[n + p] = passage
+    return docs, gone
+
+
+def test_planted_passages_go(spark):
+    docs, gone = planted(random.Random(12))
+    out = {r.doc_id: r.text for r in lines.strip_passages(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        assert out[i].split("\n") == [x for x in t.split("\n") if x not in gone.get(i, [])]

@@ -45,3 +45,15 @@ def test_registry():
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE) <= set(names)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_short_passages_go(spark):
+    """Two lines between differing neighbours go in the stages for lines and near copies."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(GOOD) for _ in range(n))
+    shared, copy = f"{say(9)}\n{say(9)}", say(400)
+    docs = [(i, f"{say(20)}\n{say(20)}\n{shared}\n{say(20)}\n{say(20)}", "en", "a", 1) for i in range(6)] + [(6, copy, "en", "a", 1), (7, copy + " more", "en", "a", 1)]
+    out = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.drop_lines, corpus_pipeline.drop_near_copies):
+        out = stage(spark, out, "")
+    assert sorted(r.doc_id for r in out.collect() if shared in r.text) == [0] and sorted(r.doc_id for r in out.collect()) == list(range(7))

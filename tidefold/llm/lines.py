@@ -14,6 +14,13 @@ carry their text to the comparison. Counts and firsts are aggregated before
 the shuffle, so a line that a third of all documents hold costs one row a
 task. Everything is DataFrame functions.
 
+Chunks are long, so a short passage between differing neighbours seldom holds
+a whole one. ``dedup_passages`` finds every repeated passage of two lines or
+more instead: its pieces are all windows from one line that is not blank to
+the next that is not, found and compared in the same way. A line goes if a
+window that stands earlier elsewhere covers it, unless it belongs to the first
+place of a window that repeats, so each repeated window stays whole once.
+
 Defined cases: null text stays null; a text without a repeated chunk stays as
 it is, byte for byte; chunks with fewer than two lines that are not blank are
 kept; rows alike in id and text are one document and keep the same chunks; an
@@ -63,26 +70,49 @@ def chunks(text: Column) -> Column:
     return _let(lines, lambda v: _let(F.struct(v.alias("lines"), F.transform(v, lambda s: F.xxhash64(s)).alias("hashes")), cut))
 
 
+def passages(text: Column) -> Column:
+    """Array of structs lines (array), hash, multi (true), low and high (places of the first and last line): each line that is not blank with the next that is not."""
+
+    def windows(x: Column) -> Column:
+        def window(low: Column, i: Column) -> Column:
+            high = F.get(x["full"], i + 1)
+            return _let(
+                F.slice(x["lines"], low + 1, high - low + 1),
+                lambda own: F.struct(own.alias("lines"), F.xxhash64(F.array_join(own, "\n")).alias("hash"), F.lit(True).alias("multi"), low.alias("low"), high.alias("high")),
+            )
+
+        return F.transform(F.slice(x["full"], 1, F.greatest(F.size(x["full"]) - 1, F.lit(0))), window)
+
+    full = lambda v: F.filter(F.transform(v, lambda s, i: F.when(F.length(F.trim(s)) > 0, i)), lambda i: i.isNotNull())
+    return _let(F.split(text, "\n", -1), lambda v: _let(F.struct(v.alias("lines"), full(v).alias("full")), windows))
+
+
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["_id"]) & (a["_t"] == b["_text"])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) with text shortened and the columns n_lines, n_lines_removed and n_chunks_removed added."""
-    columns = docs.columns
-    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_t"))
-    light = keyed.select("doc_id", "_t", F.posexplode(F.transform(chunks(F.col("text")), lambda c: F.struct(c["hash"].alias("hash"), c["multi"].alias("multi")))).alias("_i", "_c"))
+def _repeats(keyed: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
+    """Of the pieces that cut makes of keyed (doc_id, text, _t): those whose hash repeats (doc_id, _t, _i, hash, is_first), and the copies that equal the first by bytes (doc_id, _t, i)."""
+    light = keyed.select("doc_id", "_t", F.posexplode(F.transform(cut(F.col("text")), lambda c: F.struct(c["hash"].alias("hash"), c["multi"].alias("multi")))).alias("_i", "_c"))
     light = light.where("_c.multi").select("doc_id", "_t", "_i", F.col("_c.hash").alias("hash"))
     firsts = light.groupBy("hash").agg(F.min(F.struct("doc_id", "_t", "_i")).alias("first"), F.max(F.struct("doc_id", "_t", "_i")).alias("last")).where("first <> last")
 
-    # Which chunks of each document are first, or copies to compare, by hash.
-    held = light.join(firsts, "hash").select("doc_id", "_t", "_i", "hash", (F.struct("doc_id", "_t", "_i") == F.col("first")).alias("is_first"))
-    lists = held.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_list(F.struct("_i", "hash", "is_first")).alias("_held"))
-    joined = keyed.join(lists, _same(keyed, lists)).select("doc_id", "_t", "_held", chunks(F.col("text")).alias("_c"))
+    # Which pieces of each document are first, or copies to compare, by hash.
+    held = light.join(firsts, "hash").select("doc_id", "_t", "_i", "hash", (F.struct("doc_id", "_t", "_i") == F.col("first")).alias("is_first")).distinct()
+    lists = held.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_list(F.struct("_i", "hash", "is_first")).alias("_held"))
+    joined = keyed.join(lists, _same(keyed, lists)).select("doc_id", "_t", "_held", cut(F.col("text")).alias("_c"))
     texts = joined.select("doc_id", "_t", F.explode(F.transform("_held", lambda h: F.struct(h["_i"].alias("i"), h["hash"].alias("hash"), h["is_first"].alias("is_first"), F.array_join(F.get(F.col("_c"), h["_i"])["lines"], "\n").alias("chunk")))).alias("h"))
     texts = texts.select("doc_id", "_t", "h.*")
     kept = texts.where("is_first").groupBy("hash").agg(F.min("chunk").alias("_first"))
     copies = texts.where("NOT is_first").join(kept, "hash").where("chunk = _first")
+    return held, copies
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with text shortened and the columns n_lines, n_lines_removed and n_chunks_removed added."""
+    columns = docs.columns
+    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_t"))
+    _, copies = _repeats(keyed, chunks)
     gone = copies.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_set("i").alias("_gone"))
 
     full = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
@@ -98,6 +128,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with every repeated passage of two lines or more taken out of text, and the columns n_lines and n_lines_removed added."""
+    columns = docs.columns
+    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_t"))
+    held, copies = _repeats(keyed, passages)
+    marks = copies.select("doc_id", "_t", "i", F.lit(False).alias("stays")).unionByName(held.where("is_first").select("doc_id", "_t", F.col("_i").alias("i"), F.lit(True).alias("stays")))
+    marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_set(F.when(~F.col("stays"), F.col("i"))).alias("_gone"), F.collect_set(F.when(F.col("stays"), F.col("i"))).alias("_kept")).where(F.size("_gone") > 0)
+
+    full = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    out = full.join(marks, _same(full, marks), "left").withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
+    out = out.withColumn("_w", F.when(F.col("_gone").isNotNull(), F.transform(passages(F.col("text").cast("string")), lambda w: F.struct(w["low"].alias("low"), w["high"].alias("high")))))
+    covered = lambda name: F.flatten(F.transform(name, lambda i: F.sequence(F.get(F.col("_w"), i)["low"], F.get(F.col("_w"), i)["high"])))
+    out = out.withColumn("_drop", F.array_except(covered("_gone"), covered("_kept")))
+    out = out.withColumn("_left", F.when(F.size("_drop") > 0, F.filter("_lines", lambda _, j: ~F.array_contains("_drop", j))))
+    n_lines = F.coalesce(F.size("_lines"), F.lit(0))
+    return out.select(
+        *(F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")).alias("text") if c == "text" else F.col(c) for c in columns),
+        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
+        F.when(F.col("_left").isNull(), 0).otherwise(n_lines - F.size("_left")).cast("bigint").alias("n_lines_removed"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -108,7 +160,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with repeated chunks taken out and n_chars counted again; a document that consisted of nothing else goes."""
     prepare(spark)
-    done = dedup_lines(docs).where("text <> '' OR text IS NULL OR n_chunks_removed = 0")
+    return _stripped(docs, dedup_lines(docs), "n_chunks_removed")
+
+
+def strip_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with every repeated passage of two lines or more taken out, otherwise as strip_documents. docs is read several times."""
+    prepare(spark)
+    return _stripped(docs, dedup_passages(docs), "n_lines_removed")
+
+
+def _stripped(docs: DataFrame, done: DataFrame, removed: str) -> DataFrame:
+    done = done.where((F.col("text") != "") | F.col("text").isNull() | (F.col(removed) == 0))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_chunks_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return done.select(docs.columns)
