@@ -77,3 +77,53 @@ def test_similar(spark):
     prints = spark.createDataFrame(list(enumerate(E.fingerprints(texts))), "doc_id long, fingerprint string")
     got = {(r.doc_id, r.other) for r in E.similar(prints).collect()}
     assert {(20 + i, i) for i in range(20)} | {(40 + i, i) for i in range(3)} == got
+
+
+def printed(bits):
+    return f"0:{len(bits)}:{np.packbits(bits).tobytes().hex()}"
+
+
+def flipped(bits, share, rng):
+    return bits ^ (rng.random(len(bits)) < share)
+
+
+def test_similar_compares_all_members_of_a_band(spark, monkeypatch):
+    """Ids 1 and 2 are near copies whose only common band has an unrelated document as its least id; bands of over 7 are dealt in blocks."""
+    monkeypatch.setattr(E, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2, 512).astype(bool)
+    b = a.copy()
+    own = E._sampled(0, 512) == 0  # bits that the coarser level does not have
+    for i in range(E.BAND, 512, E.BAND):
+        b[i + int(np.flatnonzero(own[i : i + E.BAND])[0])] ^= True
+    coarse = np.flatnonzero(~own)
+    for i in range(0, len(coarse) - E.BAND + 1, E.BAND):
+        b[coarse[i + E.BAND - 1]] ^= True
+    b[: E.BAND] = a[: E.BAND]
+    if (a[coarse[: E.BAND]] == b[coarse[: E.BAND]]).all():
+        b[coarse[E.BAND - 1]] ^= True
+    head = rng.integers(0, 2, 512).astype(bool)
+    head[: E.BAND] = a[: E.BAND]
+    assert len(set(E.bands(printed(a))) & set(E.bands(printed(b)))) == 1 and E.likeness(printed(a), printed(b)) >= E.LIKE
+    texts = [head, a, b]
+    for _ in range(6):  # groups with hot bands
+        base = rng.integers(0, 2, 480).astype(bool)
+        texts += [flipped(base, 0.04, rng) for _ in range(20)]
+    prints = [printed(x) for x in texts]
+    keys = [set(E.bands(x)) for x in prints]
+    expect = {(j, i): E.likeness(prints[i], prints[j]) for j in range(len(prints)) for i in range(j) if keys[i] & keys[j]}
+    got = {(r.doc_id, r.other): r.likeness for r in E.similar(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")).collect()}
+    assert (2, 1) in got and got == {p: x for p, x in expect.items() if x >= E.LIKE}
+
+
+def test_similar_of_neighbouring_levels_and_empty(spark):
+    rng = random.Random(8)
+    base = [text(rng, n) for n in (250, 255, 500, 510) for _ in range(4)]
+    texts = base + [b + text(rng, 14) for b in base] + [""]
+    prints = E.fingerprints(texts)
+    keys = [set(E.bands(x)) for x in prints]
+    expect = {(j, i): E.likeness(prints[i], prints[j]) for j in range(len(prints)) for i in range(j) if keys[i] & keys[j]}
+    expect = {p: x for p, x in expect.items() if x >= E.LIKE}
+    frame = spark.createDataFrame([*enumerate(prints), (None, prints[0])], "doc_id long, fingerprint string")
+    assert {(r.doc_id, r.other): r.likeness for r in E.similar(frame).collect()} == expect
+    assert any(prints[i][0] != prints[j][0] for i, j in expect) and E.similar(frame.limit(0)).collect() == []

@@ -10,8 +10,11 @@ samples of one level hold those of the next. Likeness is the agreement of two
 fingerprints over the coarser of their levels, rescaled so that chance is 0;
 what only the longer one has counts as chance.
 
-``similar`` finds pairs: bands of sampled bits are keys, each document is
-compared with the least id of each of its bands, and likeness verifies.
+``similar`` finds pairs: bands of sampled bits are keys, and all members of a
+band are compared with one another. A band of more than BLOCK documents is
+dealt into blocks, and each two blocks meet in a task of their own, so no task
+holds a hot band; the comparisons still grow with the square of a band, and
+the pairs with the square of a group of near copies.
 
 Documents are dealt into ranges of ids (approximate quantiles), so a text
 crosses the network once; the first document of each range goes to its
@@ -32,6 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidefold.llm.common import partitions, prepare, table
 
@@ -39,6 +44,8 @@ SAMPLES = 512
 RANGE_BYTES = 24 << 20
 #: Bits of a band of ``similar``, and the likeness that verifies a pair.
 BAND, LIKE = 16, 0.7
+#: Documents of a band that are compared at once, and rows of bands that one group holds, about.
+BLOCK, SHARD_ROWS = 2_000, 50_000
 _AHEAD = 64
 
 
@@ -126,6 +133,7 @@ def _bits(fingerprint: str, level: int) -> np.ndarray:
     return bits if int(own) == level else bits[_sampled(int(own), int(n)) >= level]
 
 
+@cache
 def _sampled(level: int, n: int) -> np.ndarray:
     """Levels of the first n steps sampled at level."""
     size = max(1, n) << level
@@ -153,15 +161,68 @@ def bands(fingerprint: str) -> list[str]:
     return out
 
 
+def _agreement(bits: list[np.ndarray]) -> np.ndarray:
+    """Likeness of each two, all of one level."""
+    n = np.array([len(x) for x in bits], np.int64)
+    signs = np.zeros((len(bits), max(1, int(n.max()))), np.float32)
+    for row, x in zip(signs, bits, strict=True):
+        row[: len(x)] = x.astype(np.float32) * 2 - 1
+    return np.maximum(0.0, (signs @ signs.T).astype(np.float64) / np.maximum(1, np.maximum(n[:, None], n[None, :])))  # sums of under 2**24 signs are exact
+
+
+def _compare(least: float, schema: pa.Schema):
+    """Of cells of bands (two blocks, or one with itself): the pairs that are alike."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("band", "ascending"), ("low", "ascending"), ("high", "ascending")])
+        ids, prints, band, low, high, own = (rows.column(c).to_pylist() for c in ("doc_id", "fingerprint", "band", "low", "high", "own"))
+        out, a, known = [], 0, {}
+
+        def bits(i: int, level: int) -> np.ndarray:
+            if (key := (prints[i], level)) not in known:
+                known[key] = _bits(*key)
+            return known[key]
+
+        while a < len(ids):
+            b = a + 1
+            while b < len(ids) and (band[b], low[b], high[b]) == (band[a], low[a], high[a]):
+                b += 1
+            if b - a > 1:
+                level = int(band[a].split(":", 1)[0])
+                grid = _agreement([bits(i, level) for i in range(a, b)])
+                finer = [i for i in range(a, b) if int(prints[i].split(":", 1)[0]) < level]
+                if len(finer) > 1:  # two of the finer level are compared there
+                    at = np.array(finer) - a
+                    grid[np.ix_(at, at)] = _agreement([bits(i, level - 1) for i in finer])
+                side = np.array(own[a:b])
+                meet = np.triu(grid >= least, 1) & ((side[:, None] != side[None, :]) | (low[a] == high[a]))
+                for i, j in zip(*np.nonzero(meet), strict=True):
+                    x, y = ids[a + i], ids[a + j]
+                    if x != y:
+                        out.append((max(x, y), min(x, y), float(grid[i, j])))
+            a = b
+        return pa.table([pa.array([r[k] for r in out], schema.field(k).type) for k in range(3)], schema=schema)
+
+    return compare
+
+
 def similar(prints: DataFrame, least: float = LIKE) -> DataFrame:
-    """prints: doc_id, fingerprint. Pairs (doc_id, other, likeness) with the least id of a shared band, verified. Of documents alike in fingerprint the least id stands for all; the others are paired with it."""
+    """prints: doc_id, fingerprint. Pairs (doc_id, other, likeness), other the lesser id, of all that share a band and are at least so alike; a null id has no pairs. Of documents alike in fingerprint the least id stands for all; the others are paired with it."""
+    spark = prints.sparkSession
+    prints = prints.where(F.col("doc_id").isNotNull())
     one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     cut = F.udf(bands, "array<string>", useArrow=True)
     keys = one.select("doc_id", "fingerprint", F.explode(cut("fingerprint")).alias("band"))
-    heads = keys.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.join(heads, "band").where(F.col("doc_id") != F.col("h.doc_id")).select("doc_id", "fingerprint", F.col("h.doc_id").alias("other"), F.col("h.fingerprint").alias("to")).distinct()
-    judge = F.udf(likeness, "double", useArrow=True)
-    verified = pairs.select("doc_id", "other", judge("fingerprint", "to").alias("likeness")).where(F.col("likeness") >= least)
+    blocks = keys.groupBy("band").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = int(blocks.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0)
+    dealt = keys.join(blocks.where("blocks > 1").select("band", "blocks"), "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id", "fingerprint"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "fingerprint", "band", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own")
+    cells = cells.withColumn("shard", F.pmod(F.xxhash64("band", "low", "high"), F.lit(max(partitions(spark), -(-rows // SHARD_ROWS)))).cast("int"))
+    kind = prints.schema["doc_id"].dataType
+    pair = to_arrow_schema(StructType([StructField("doc_id", kind), StructField("other", kind), StructField("likeness", DoubleType())]))
+    found = cells.groupBy("shard").applyInArrow(_compare(least, pair), f"doc_id {kind.simpleString()}, other {kind.simpleString()}, likeness double")
+    verified = found.groupBy("doc_id", "other").agg(F.max("likeness").alias("likeness"))
     copies = prints.join(one.select("fingerprint", F.col("doc_id").alias("other")), "fingerprint").where("doc_id <> other")
     return verified.unionByName(copies.select("doc_id", "other", F.lit(1.0).alias("likeness")))
 
