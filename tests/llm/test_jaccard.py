@@ -95,6 +95,19 @@ def test_empty_and_one_of_each(spark):
     assert jaccard.one_of_each(spark, docs.limit(0)).collect() == []
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Unique texts stay whatever their ids, near copies go also among null ids and rows of one id."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(200))
+    stay = [(3, text("a"), "x"), (5, text("b"), "x"), (9, text("c"), "x"), (None, text("d"), "x"), (None, text("e"), "x"), (7, text("f"), "x"), (None, None, "x"), (None, "", "y"), (4, " ", "x"), (4, " ", "x")]
+    go = [(5, text("a"), "x"), (None, text("c") + " more", "x"), (None, text("d"), "y"), (7, text("f"), "y"), (7, text("f"), "y"), (8, text("f") + " more", "x")]
+    near = [(None, text("g"), "x"), (None, text("g") + " more", "x")]
+    out = list(map(tuple, jaccard.one_of_each(spark, spark.createDataFrame(go + near + stay, "doc_id long, text string, source string").repartition(3)).collect()))
+    left = [r for r in out if r in near]
+    assert len(left) == 1
+    out.remove(left[0])
+    assert sorted(out, key=str) == sorted(stay, key=str)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 2000 + i) for i in range(1, 60)]

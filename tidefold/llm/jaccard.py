@@ -38,10 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import partitions, prepare, table
+from tidefold.llm.common import WORD, partitions, prepare, table
 from tidefold.llm.graph import components
 
 WORDS = 5
@@ -498,9 +498,21 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component, at the library's setting for near duplicates."""
+    """One document of each component, at the library's setting for near duplicates: the least id, null last, then the least hash of id and text.
+
+    Rows are linked by their texts alone: a hash of id and text takes the id's
+    place in ``link``, so null and repeated ids join nothing. Of rows alike in
+    id and text the first by the other columns stays. Texts without words are
+    linked with nothing and all stay.
+    """
     prepare(spark)
-    linked = link(docs)
-    keep = linked.where("component_id = doc_id OR component_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    first = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return first
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
+    full = keyed.where(worded)
+    linked = link(full.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    names = full.select("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key")).alias("name"))
+    least = names.distinct().join(linked.distinct(), "_key").groupBy("component_id").agg(F.min("name").alias("name")).select(F.col("name.key").alias("_key"))
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit(0)
+    ranked = full.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(order))).where("_rank = 1")
+    return ranked.join(least, "_key", "left_semi").select(docs.columns).unionByName(docs.where(~worded))
