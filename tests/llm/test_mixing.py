@@ -81,3 +81,15 @@ def test_mix_documents(spark):
     out = mixing.mix_documents(spark, docs)
     assert out.columns == docs.columns
     assert out.count() == 150
+
+
+def test_many_sources(spark, tmp_path, monkeypatch):
+    """More sources than the flow may hold give the same rows without it."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rng = random.Random(11)
+    docs = [(i, "w " * rng.randint(0, 60), rng.choice(["big", "big", None, *(f"site{k}" for k in range(70))]), "x") for i in range(900)] + [(900, "", "none", "x")]
+    by_flow = sorted(map(tuple, run(spark, docs, tmp_path)))
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 10)
+    alone = sorted(map(tuple, mixing.op10_source_mix(spark, str(tmp_path)).collect()))
+    assert [(*r[:3], r[4]) for r in alone] == [(*r[:3], r[4]) for r in by_flow]
+    assert [r[3] for r in alone] == pytest.approx([r[3] for r in by_flow])

@@ -4,8 +4,10 @@ Documents are aggregated by membership pattern (the set of sources that hold
 them). A flow routes whole tokens from patterns to the sources' quotas; the
 k-th pass over a pattern costs k - 1 a token, so costs are convex and
 repetition is spread before it is deepened. The graph (patterns and sources)
-is solved on the driver and may hold at most MAX_PATTERNS patterns; beyond
-that the operator refuses. A pattern's flow then becomes whole passes over all
+is solved on the driver and may hold at most MAX_PATTERNS patterns. Beyond that
+no flow is needed if each pattern is one source, as in the query: a source
+then gives its rounded target, and targets are found by rounds of sums over
+the sources. Beyond it with overlapping sources the operator refuses. A pattern's flow then becomes whole passes over all
 of its documents and a rest, filled by documents in a seeded order.
 
 The rest is cut by bucketed prefix sums: sizes are summed by pattern and
@@ -26,7 +28,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import WORD, prepare, table
+from tidefold.llm.common import WORD, partitions, prepare, table
 
 #: Fixed by the contract: weights in turn, share of all sizes that the mix takes, greatest number of passes.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -124,7 +126,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     keyed = docs.withColumn("_members", F.array_sort(F.array_distinct(F.transform("members", lambda s: F.struct(s.isNull().alias("none"), s.alias("name"))))))
     grouped = keyed.groupBy("_members").agg(F.sum("size").cast("bigint").alias("size"), F.count("*").alias("rows")).limit(MAX_PATTERNS + 1).collect()
     if len(grouped) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+        facts, most = _alone(keyed, weights, share, passes)
+        return _drawn(keyed, facts, most, seed, lambda frame: frame)
     names = sorted({(m["none"], m["name"]) for g in grouped for m in g["_members"]}, key=lambda m: (m[0], m[1] or ""))
     place = {m: i for i, m in enumerate(names)}
     patterns = [(tuple(sorted(place[m["none"], m["name"]] for m in g["_members"])), int(g["size"] or 0)) for g in grouped]
@@ -135,13 +138,52 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     target = targets(sizes, weights, share, passes, sum(n for _, n in patterns))
     given = route(patterns, [round(t) for t in target], passes)
 
-    bits = min(16, max(0, (max((g["rows"] for g in grouped), default=1) // BUCKET_ROWS)).bit_length())
     rows = []
     for i, (members, size) in enumerate(patterns):
         whole, rest = divmod(given[i], size) if size else (0, 0)
         rows.append((i, grouped[i]["_members"], [(names[s][1], sizes[s], target[s]) for s in members], whole, rest))
     kinds = "pattern int, _members array<struct<none:boolean,name:string>>, targets array<struct<source:string,source_size:bigint,target:double>>, whole bigint, rest bigint"
-    facts = F.broadcast(spark.createDataFrame(rows, kinds))  # MAX_PATTERNS rows at most
+    facts = spark.createDataFrame(rows, kinds)  # MAX_PATTERNS rows at most
+    return _drawn(keyed, facts, max((g["rows"] for g in grouped), default=1), seed, F.broadcast)
+
+
+def _alone(keyed: DataFrame, weights: tuple[float, ...], share: float, passes: int) -> tuple[DataFrame, int]:
+    """For patterns of one source each, however many: what each gives, as mix needs it, and the rows of the largest."""
+    spark = keyed.sparkSession
+    source = keyed.groupBy("_members").agg(F.coalesce(F.sum("size").cast("bigint"), F.lit(0)).alias("n"), F.count("*").alias("rows")).checkpoint()
+    if source.where(F.size("_members") != 1).take(1):
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns, and not all are of one source")
+    # Places in the order of names: by range, then within each.
+    ranged = source.repartitionByRange(partitions(spark), "_members").withColumn("_p", F.spark_partition_id()).checkpoint()
+    counts, before = sorted(map(tuple, ranged.groupBy("_p").count().collect())), {}  # a row a partition
+    for p, n in counts:
+        before[p] = sum(c for q, c in counts if q < p)
+    offset = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("_p"))
+    ranged = ranged.withColumn("pattern", (offset + F.row_number().over(Window.partitionBy("_p").orderBy("_members")) - 1).cast("bigint"))
+    ranged = ranged.withColumn("w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("pattern") % len(weights) + 1).cast("int")))
+    ranged = ranged.withColumn("cap", (passes * F.col("n")).cast("double")).checkpoint()
+
+    # Sources under the level give all their passes; the level rises until no more fall under it.
+    level, closed = 0.0, 0
+    total, most = (x or 0 for x in ranged.agg(F.sum("n"), F.max("rows")).first())
+    while True:
+        under = F.col("cap") <= F.lit(level) * F.col("w")
+        capped, open_, count = ranged.agg(F.sum(F.when(under, F.col("cap"))), F.sum(F.when(~under, F.col("w"))), F.count(F.when(under, 1))).first()
+        if not open_ or (level and count == closed):
+            break
+        level, closed = max(level, (share * total - (capped or 0.0)) / open_), count
+    target = F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    given = F.rint(target).cast("bigint")
+    whole = F.when(F.col("n") > 0, F.floor(given / F.col("n"))).otherwise(0).cast("bigint")
+    name = F.col("_members")[0]["name"]
+    facts = ranged.select("pattern", "_members", F.array(F.struct(name.alias("source"), F.col("n").alias("source_size"), target.alias("target"))).alias("targets"), whole.alias("whole"), (given - whole * F.col("n")).alias("rest"))
+    return facts.checkpoint(), most
+
+
+def _drawn(keyed: DataFrame, facts: DataFrame, most: int, seed: int, small) -> DataFrame:
+    """The rows of keyed with what their pattern's facts take of them; most: rows of the largest pattern; small: broadcast, if facts are few."""
+    bits = min(16, max(0, most // BUCKET_ROWS).bit_length())
+    facts = small(facts)
     drawn = keyed.join(facts, "_members").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "salt"))
     drawn = drawn.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits).cast("int") if bits else F.lit(0))
 
@@ -149,7 +191,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sums = drawn.where("rest > 0").groupBy("pattern", "rest", "_b").agg(F.sum("size").cast("bigint").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = sums.withColumn("before", before).where("before < rest AND before + n >= rest").select("pattern", F.col("_b").alias("edge"), (F.col("rest") - F.col("before")).alias("need"))
-    cut = drawn.join(F.broadcast(edge), "pattern", "left")  # one row a pattern
+    cut = drawn.join(small(edge), "pattern", "left")  # one row a pattern
     extra = F.coalesce((F.col("_b") < F.col("edge")).cast("bigint"), F.lit(0))
     out = ["doc_id", "size", "targets", "pattern", "taken"]
     plain = cut.where("edge IS NULL OR _b <> edge").withColumn("taken", (F.col("whole") + extra) * F.col("size")).select(out)
