@@ -48,14 +48,40 @@ def corpus(seed):
     return [(i * 7 % 1009, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("seed,n,percent,cluster", [(1, 4, 85, 1 << 30), (2, 5, 80, 1 << 30), (3, 4, 85, 300)])
-def test_link_equals_brute_force(spark, monkeypatch, seed, n, percent, cluster):
-    """With a small CLUSTER the larger clusters are verified by joins."""
-    monkeypatch.setattr(jaccard, "CLUSTER", cluster)
-    monkeypatch.setattr(jaccard, "GROUP", 2000)
+@pytest.mark.parametrize("seed,n,percent,block,slice_", [(1, 4, 85, 1 << 30, 1 << 30), (2, 5, 80, 1 << 30, 1 << 30), (3, 4, 85, 300, 1 << 30), (4, 5, 80, 300, 3), (5, 4, 85, 2000, 5)])
+def test_link_equals_brute_force(spark, monkeypatch, seed, n, percent, block, slice_):
+    """With a small BLOCK (read on the driver alone) pairs are dealt in many blocks, with a small slice_ larger buckets in slices."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     docs = corpus(seed)
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, vertex string").repartition(3)
-    assert sorted(map(tuple, jaccard.link(frame, n, percent).collect())) == brute(docs, n, percent)
+    assert sorted(map(tuple, jaccard.link(frame, n, percent, slice_).collect())) == brute(docs, n, percent)
+
+
+def test_corpora_without_copies(spark):
+    """No signature, or none that repeats in a shard: one row, unrelated rows, and a table of few rows over 200 shuffle partitions."""
+    long = lambda c: " ".join(f"{c}{i}" for i in range(300))
+    for docs in ([(1, long("a"))], [(1, long("a")), (2, long("b"))], [(1, "x"), (2, None)], [(None, None)]):
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        assert sorted(map(tuple, jaccard.link(frame).collect()), key=str) == sorted(((i, len(sets(t, 5)), i) for i, t in docs), key=str)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        docs = [(1, long("a")), (2, long("b")), (3, long("a") + " more")]
+        assert sorted(map(tuple, jaccard.link(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == [(1, 296, 1), (2, 296, 2), (3, 297, 1)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.choice([1, 2, 40, 64, 65, 130, 500, 1500]))
+        base = np.unique(rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64))
+        a, b = np.sort(rng.permutation(base)[:n]), np.sort(rng.permutation(base)[: max(1, n - int(rng.integers(0, n // 4 + 1)))])
+        rows = jaccard.folded([jaccard.sketch(a), jaccard.sketch(b)])
+        assert np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(np.setxor1d(a, b))
+        if jaccard.similar(a, b, 80):
+            assert jaccard.near(rows, np.array([len(a), len(b)]), 0, 80)[1]
 
 
 def test_similar_sets_always_share_a_signature():
@@ -82,7 +108,15 @@ def test_repeated_and_null_ids(spark):
     docs = [(5, long), (5, other), (3, long), (9, other), (None, other), (None, "alone here"), (2, None)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(map(tuple, jaccard.link(frame, 4, 85).collect()), key=str)
-    assert got == sorted([(5, 47, 3), (5, 47, 3), (3, 47, 3), (9, 47, 3), (None, 47, 3), (None, 1, 3), (2, 0, 2)], key=str)
+    assert got == sorted([(5, 47, 3), (5, 47, 3), (3, 47, 3), (9, 47, 3), (None, 47, 3), (None, 1, None), (2, 0, 2)], key=str)
+
+
+def test_null_ids_stand_for_themselves(spark):
+    """Rows without an id join nothing but what they link with, and the largest id is an id."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(100))
+    docs = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), ((1 << 63) - 1, text("c")), (None, text("c"))]
+    got = sorted(map(tuple, jaccard.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 96, None), (None, 96, None), (None, 97, None), ((1 << 63) - 1, 96, (1 << 63) - 1), (None, 96, (1 << 63) - 1)], key=str)
 
 
 def test_empty_and_one_of_each(spark):

@@ -4,31 +4,37 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Sizes
 are cut into bands so that similar sets lie in one band or in neighbours; each
 set signs for its own band and the next. Within a band, sets at least as
 similar as the threshold differ in at most k shingles. The hash domain is
-partitioned into ceil((k + 1) / 2) groups of 3 parts: some group then holds at
-most one difference, so two of its parts are equal, and each choice of two
-parts of a group is a signature. Similar sets share one without exception;
-candidates are verified on the whole sets.
+partitioned into G groups of 3 parts, G = ceil((k + 1) / 2) + E: some E + 1
+groups then hold at most one difference each, so two of their parts are equal,
+and each choice of two parts of a group is a signature. As up to E groups can
+be spared, a set leaves out the signatures of fewer than w shingles, w as large
+as at most E groups have such ones: of two similar sets the one with the larger
+w has a good group without them, and the other signs for it too. So similar
+sets share a signature without exception, and seldom one that says little.
 
 Copies of a set are one vertex from the start. A bucket is first split by what
-cannot link: the sets' counts in CELLS cells of the hash domain differ by no
-more than the sets do, so pairs whose counts differ by more than the threshold
-allows are apart for certain. What is left of the buckets makes
-clusters: vertices that candidates join, directly or not. A cluster's texts
-are sent once to the task that verifies it, where a bucket's members are first
-compared with its most central one (the one that meets most others) and then
-only pairs that still lie in different components, so no link between
-components is lost and a group of copies costs one comparison a member. A
-cluster of more than CLUSTER shingles does not go to one task: its pairs are
-verified by joins, in the same two steps, and components are found by
-alternating stars. Signatures travel packed by shard, 6 bytes each; texts
-travel only for vertices with candidates, which a bit map of fixed size
-selects.
+cannot link: the odd sketches of two sets (the parity of the shingles in each
+of about as many cells as there are shingles) differ in no more places than the
+sets do, so pairs whose sketches differ by more than the threshold allows are
+apart for certain. Of each part the members are compared with one centre, then
+members that still lie in different components with one another, where their
+sketches allow it, so no link between components is lost and a group of copies
+costs one comparison a member.
+
+Nothing is sent once a pair. Pairs are dealt in blocks by the first text; a
+block gets each text that its pairs name once, so the first texts travel once,
+and the few centres once a block. Shards, parts and blocks are sized by their
+contents. A bucket over SLICE members is dealt in slices, which share PIVOTS
+members, so that they meet; what then lies outside the largest component is
+compared with every slice. A shard holds whole buckets, 4 bytes a signature and
+12 a member. Components are found by alternating stars. Texts travel only for
+vertices in pairs, which a bit map of fixed size selects, one of each a task.
 
 Defined cases: null text and text without words have an empty set and are
-linked with nothing; fewer words than a shingle are one shingle; equal ids are
-one vertex of the graph, whatever their texts; a null id is the last of all
-and has its component's least id or null; an empty table gives no rows; other
-columns are ignored.
+linked with nothing; fewer words than a shingle are one shingle; rows of one
+id are one vertex of the graph, whatever their texts; each row with a null id
+stands for itself and has its component's least id, or null; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,14 +52,15 @@ from tidefold.llm.graph import components
 
 WORDS = 5
 PERCENT = 80
-#: Bits of the map that selects vertices with candidates.
+#: Bits of the map that selects texts with candidates.
 MAP_BITS = 1 << 24
-#: Cells of the hash domain in which a set's shingles are counted (up to 255).
-CELLS = 64
-_NULL = (1 << 63) - 1
-_PART = 700_000
-#: Shingles of a cluster that one task takes, and of the clusters of one group.
-CLUSTER, GROUP = 3_000_000, 1_500_000
+#: Members of a bucket that are split together, and those that the slices of a larger one share.
+SLICE, PIVOTS = 20_000, 16
+#: Signatures of a shard, rows of a part and shingles of a block, about.
+SHARD, PART, BLOCK = 8_000_000, 50_000, 1_500_000
+_CHUNK = 700_000
+#: One group in so many is spared.
+SPARE = 8
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -95,9 +102,32 @@ def vertex(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Shingles in each cell. The sum of differences of two sketches is at most the difference of the sets."""
-    return np.minimum(np.bincount((mix(s ^ _MULTIPLIERS[6]) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles in each cell, a bit a cell; cells are the least power of two not below the number of shingles, 64 at least."""
+    cells = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ _MULTIPLIERS[6]) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all with the cells of the smallest. Rows differ in no more bits than the sets differ in shingles."""
+    width = min(map(len, sketches))
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    for i, b in enumerate(sketches):
+        w = np.frombuffer(b, np.uint64)
+        while len(w) > width // 8:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        out[i] = w
+    return out
+
+
+def near(rows: np.ndarray, n: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Which rows of sketches of sets of n shingles may be similar to row i."""
+    most = (n + n[i]) * (100 - percent) // (100 + percent)
+    fit = np.flatnonzero(100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+    out = np.zeros(len(n), bool)
+    out[fit] = np.bitwise_count(rows[fit] ^ rows[i]).sum(axis=1, dtype=np.int64) <= most[fit]
+    return out
 
 
 class Bands:
@@ -124,14 +154,17 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     for step in (0, 1):
         tag = bands(sizes) + step
         k = bands.k[tag]
-        groups = (k + 2) // 2  # 2 * groups > k
+        spare = np.where(k > 0, (k + 2) // 2 // SPARE, 0)
+        groups = (k + 2) // 2 + spare  # 2 * (groups - spare) > k
         first = np.cumsum(groups) - groups
         v = mix(flat ^ mix(tag.astype(np.uint64) * _MULTIPLIERS[1])[owner])
         group = (v % groups.astype(np.uint64)[owner]).astype(np.int64)
         part = ((v >> np.uint64(40)) % np.uint64(3)).astype(np.int64)
+        at = 3 * (first[owner] + group) + part
         cells = np.zeros(3 * int(groups.sum()), np.uint64)
-        np.add.at(cells, 3 * (first[owner] + group) + part, value)
+        np.add.at(cells, at, value)
         cells = cells.reshape(-1, 3)
+        held = np.bincount(at, minlength=cells.size).reshape(-1, 3)
         whole = cells.sum(axis=1, dtype=np.uint64)[:, None]
         # Leave out one part of three; where k is 0 nothing is left out and one signature is enough.
         set_of = np.repeat(np.arange(len(sets)), groups)
@@ -139,7 +172,12 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         number = (np.arange(len(set_of)) - first[set_of])[:, None] * 3 + np.arange(3)[None, :]
         place = mix(tag[set_of].astype(np.uint64)[:, None] * _MULTIPLIERS[2] + number.astype(np.uint64) * _MULTIPLIERS[3])
         sig = mix(np.where(exact, whole, whole - cells) + place)
-        use = ~exact | (np.arange(3)[None, :] == 0)
+        said = held.sum(axis=1)[:, None] - held  # shingles of a signature
+        least = np.zeros(len(sets), np.int64)
+        for w in (1, 2, 3):
+            weak = np.bincount(set_of, said.min(axis=1) < w, len(sets))
+            least[(weak <= spare) & (least == w - 1)] = w
+        use = np.where(exact, np.arange(3)[None, :] == 0, said >= least[set_of][:, None])
         signed.append(sig[use])
         whose.append(np.broadcast_to(set_of[:, None], sig.shape)[use])
     sig, own = np.concatenate(signed), np.concatenate(whose)
@@ -147,173 +185,185 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return sig[order], own[order]
 
 
-def _read(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Ids and sets, some hundred thousand shingles at a time."""
-    ids, sets, total = [], [], 0
+def _read(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """Ids, keys and sets, some hundred thousand shingles at a time."""
+    ids, keys, sets, total = [], [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
             ids.append(doc_id)
+            keys.append(key)
             sets.append(shingles(text.as_py(), n))
             total += len(sets[-1]) + 1
-            if total > _PART:
-                yield ids, sets
-                ids, sets, total = [], [], 0
-    yield ids, sets
+            if total > _CHUNK:
+                yield ids, keys, sets
+                ids, keys, sets, total = [], [], [], 0
+    yield ids, keys, sets
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+_FACTS = "doc_id bigint, key bigint, n_shingles bigint, vertex bigint, sketch binary"
 
 
-def _eight(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
+def _facts(n: int):
+    """Of each row its number of shingles, vertex and sketch (null for an empty set)."""
 
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, keys, sets in _read(batches, n):
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([vertex(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "vertex", "sketch"])
 
-_SENT = "shard int, sigs binary, names binary, sizes binary, counts binary"
+    return facts
+
+
+_SENT = "shard int, sigs binary, names binary, counts binary"
 
 
 def _send(n: int, percent: int, shards: int):
-    """Signatures of each distinct set of a task, packed by shard; in shard -1 the ids, vertices, sizes and sketches of all documents."""
+    """Signatures of each distinct set of a task, packed by shard: 32 bits of each, the vertices and how many signatures each has there."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, done = Bands(percent), set()
-        for ids, sets in _read(batches, n):
-            every = [vertex(s) if len(s) else 0 for s in sets]
-            rows = [(-1, np.array(ids, np.int64).tobytes(), np.array(every, np.int64).tobytes(), np.array([len(s) for s in sets], np.int64).tobytes(), b"".join(sketch(s).tobytes() for s in sets))]
-            fresh = {v: s for v, s in zip(every, sets, strict=True) if len(s) and v not in done}
+        for _, _, sets in _read(batches, n):
+            fresh = {v: s for s in sets if len(s) and (v := vertex(s)) not in done}
             done.update(fresh)
+            rows = []
             if fresh:
-                names, sizes = np.array(list(fresh), np.int64), np.array([len(s) for s in fresh.values()], np.uint32)
+                names = np.array(list(fresh), np.int64)
                 sig, own = signatures(list(fresh.values()), bands)
-                shard = (sig >> np.uint64(48)) % np.uint64(shards)
+                shard = (sig >> np.uint64(32)) % np.uint64(shards)
                 order = np.argsort(shard, kind="stable")
-                sig, own, cuts = sig[order], own[order], np.searchsorted(shard[order], np.arange(shards + 1))
+                sig, own, cuts = sig[order].astype(np.uint32), own[order], np.searchsorted(shard[order], np.arange(shards + 1))
                 for x in range(shards):
                     a, b = cuts[x], cuts[x + 1]
                     if a < b:
                         who, counts = np.unique(own[a:b], return_counts=True)
-                        rows.append((x, _six(sig[a:b]), names[who].tobytes(), sizes[who].tobytes(), counts.astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["shard", "sigs", "names", "sizes", "counts"])
+                        rows.append((x, sig[a:b].tobytes(), names[who].tobytes(), counts.astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), *[pa.binary()] * 3])], ["shard", "sigs", "names", "counts"])
 
     return send
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, names, sizes in zip(*(batch.column(c) for c in ("sigs", "names", "sizes")), strict=True):
-            v, n = np.frombuffer(names.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_py(), np.int64)), pa.array(n), pa.array(v, mask=n == 0)], ["doc_id", "n_shingles", "vertex"])
+_BUCKETS = "bucket bigint, slices int, slice int, members array<bigint>, centre bigint"
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for names, sizes, cells in zip(*(batch.column(c) for c in ("names", "sizes", "counts")), strict=True):
-            v, n = np.frombuffer(names.as_py(), np.int64), np.frombuffer(sizes.as_py(), np.int64)
-            rows = cells.as_py()
-            at = np.flatnonzero(n > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array([rows[i * CELLS : (i + 1) * CELLS] for i in at.tolist()], pa.binary())], ["vertex", "sketch"])
+def _buckets(slice_: int):
+    """Of a shard: buckets of two or more vertices, each list of members once, in slices, with the member that meets most others there."""
+
+    def buckets(rows: pa.Table) -> pa.Table:
+        sig = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows.column("sigs")])
+        name = np.concatenate([np.repeat(np.frombuffer(x.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32)) for x, c in zip(rows.column("names"), rows.column("counts"), strict=True)])
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        same = np.flatnonzero(np.append(False, sig[1:] == sig[:-1])[: len(sig)])
+        keep = np.unique(np.concatenate([same, same - 1]))
+        sig, name = sig[keep], name[order][keep]
+        order = np.lexsort((name, sig))
+        sig, name = sig[order], name[order]
+        once = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]))[: len(sig)]
+        sig, name = sig[once], name[once]
+        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+        ends = np.append(begin[1:], len(sig))[: len(begin)]
+        who, place = np.unique(name, return_inverse=True)
+        central = np.bincount(place, np.repeat(ends - begin - 1, ends - begin), len(who))[place]
+        seen, out = set(), []
+        for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
+            if b - a > 1 and (key := xxhash.xxh64_intdigest(name[a:b].tobytes())) not in seen:
+                seen.add(key)
+                bucket, own = np.uint64(key).view(np.int64), name[a:b]
+                centre = int(own[int(np.argmax(central[a:b]))])
+                slices = -(-(b - a) // slice_)
+                if slices == 1:
+                    out.append((bucket, 1, 0, own, centre))
+                else:
+                    h = mix(own.view(np.uint64))
+                    shared = np.append(own[np.argsort(h)[:PIVOTS]], centre)
+                    out += [(bucket, slices, x, np.union1d(own[h % np.uint64(slices) == x], shared), centre) for x in range(slices)]
+        schema = pa.schema([("bucket", pa.int64()), ("slices", pa.int32()), ("slice", pa.int32()), ("members", pa.list_(pa.int64())), ("centre", pa.int64())])
+        return pa.table([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return buckets
+
+
+def _groups(rows: pa.Table, *by: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows alike in the columns named, with their sketches."""
+    rows = rows.sort_by([*((c, "ascending") for c in by), ("vertex", "ascending")])
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in by:
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    begin = np.flatnonzero(new)
+    for a, b in zip(begin.tolist(), np.append(begin[1:], len(rows)).tolist(), strict=True):
+        own = rows.slice(a, b - a)
+        yield own, folded([x.as_py() for x in own.column("sketch")])
+
+
+_PARTS = "bucket bigint, slices int, slice int, members array<bigint>, centre bigint"
 
 
 def _split(percent: int):
-    """Buckets cut into parts between which no link is possible."""
-    schema = pa.schema([("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("centre", pa.int64())])
+    """Buckets cut into parts between which no link is possible; each slice of a larger bucket once more as it is, without a centre."""
 
     def split(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("bucket", "ascending"), ("vertex", "ascending")])
-        bucket, name, size, centre = (rows.column(c).to_numpy() for c in ("bucket", "vertex", "size", "centre"))
-        cells = np.frombuffer(b"".join(x.as_py() for x in rows.column("sketch")), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         out = []
-        for a, b in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist(), strict=True):
-            n, sk = size[a:b], cells[a:b]
-            part = np.arange(b - a)
-
-            def join(i: int, n=n, sk=sk, part=part) -> None:
-                most = (n + n[i]) * (100 - percent) // (100 + percent)
-                near = (np.abs(sk - sk[i]).sum(axis=1, dtype=np.int64) <= most) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                met = np.unique(part[near])
+        for own, cells in _groups(rows, "bucket", "slice"):
+            name, n = own.column("vertex").to_numpy(), own.column("n").to_numpy()
+            bucket, slices, slice_, centre = (own.column(c)[0].as_py() for c in ("bucket", "slices", "slice", "centre"))
+            part = np.arange(len(n))
+
+            def join(i: int, n=n, cells=cells, part=part) -> None:
+                met = np.unique(part[near(cells, n, i, percent)])
                 if len(met) > 1:
                     part[np.isin(part, met)] = met[0]
 
-            middle = int(np.flatnonzero(name[a:b] == centre[a])[0])
+            middle = int(np.searchsorted(name, centre))
             join(middle)
             kinds, counts = np.unique(part, return_counts=True)
             if len(kinds) > 1:
-                largest = kinds[np.argmax(counts)]
-                for i in np.flatnonzero(part != largest).tolist():
+                for i in np.flatnonzero(part != kinds[np.argmax(counts)]).tolist():
                     join(i)
             for k in np.unique(part):
-                own = np.flatnonzero(part == k)
-                if len(own) > 1:
-                    out.append((name[a:b][own], n[own], int(centre[a]) if part[middle] == k else int(name[a + own[0]])))
-        if not out:
-            return schema.empty_table()
-        return pa.table([pa.array([x[i] for x in out], schema.field(i).type) for i in range(3)], schema=schema)
+                of = name[part == k]
+                if len(of) > 1:
+                    out.append((xxhash.xxh64_intdigest(of.tobytes()), 1, 0, of, int(centre) if part[middle] == k else int(of[0])))
+            if slices > 1:
+                out.append((bucket % (1 << 64), slices, slice_, name, None))
+        schema = pa.schema([("bucket", pa.int64()), ("slices", pa.int32()), ("slice", pa.int32()), ("members", pa.list_(pa.int64())), ("centre", pa.int64())])
+        columns = [[x[i] for x in out] for i in range(5)]
+        columns[0] = np.array(columns[0], np.uint64).view(np.int64)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return split
 
 
-def _buckets(percent: int):
-    """Of a shard: buckets of two or more vertices, each list of members once, with a member's centrality there."""
-    schema = pa.schema([("members", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("centre", pa.int64())])
+def _cross(percent: int):
+    """Of parts that hold several components: pairs of a member outside the main one with members of others, where sketches allow a link."""
 
-    def buckets(rows: pa.Table) -> pa.Table:
-        sig = np.concatenate([_eight(x.as_py()) for x in rows.column("sigs")])
-        each = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("counts")]
-        name = np.concatenate([np.repeat(np.frombuffer(x.as_py(), np.int64), c) for x, c in zip(rows.column("names"), each, strict=True)])
-        size = np.concatenate([np.repeat(np.frombuffer(x.as_py(), np.uint32), c) for x, c in zip(rows.column("sizes"), each, strict=True)]).astype(np.int64)
-        order = np.argsort(sig, kind="stable")
-        sig = sig[order]
-        same = np.flatnonzero(np.append(False, sig[1:] == sig[:-1]))
-        keep = np.unique(np.concatenate([same, same - 1])) if len(same) else same
-        sig, name, size = sig[keep], name[order][keep], size[order][keep]
-        order = np.lexsort((name, sig))
-        sig, name, size = sig[order], name[order], size[order]
-        once = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]))[: len(sig)]
-        sig, name, size = sig[once], name[once], size[once]
-        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
-        ends = np.append(begin[1:], len(sig))
-        met = np.repeat(ends - begin - 1, ends - begin)
-        who, place = np.unique(name, return_inverse=True)
-        central = np.bincount(place, met, len(who))[place] if len(who) else met
-        seen, out = set(), []
-        for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
-            if b - a > 1 and (key := name[a:b].tobytes()) not in seen:
-                seen.add(key)
-                out.append((name[a:b], size[a:b], int(name[a + int(np.argmax(central[a:b]))])))
-        if not out:
-            return schema.empty_table()
-        return pa.table([pa.array([x[i] for x in out], schema.field(i).type) for i in range(3)], schema=schema)
+    def cross(rows: pa.Table) -> pa.Table:
+        found: set[tuple[int, int]] = set()
+        for own, cells in _groups(rows, "bucket", "slice"):
+            name, n, root, aside, guest = (own.column(c).to_numpy(zero_copy_only=False) for c in ("vertex", "n", "root", "aside", "guest"))
+            for i in np.flatnonzero(aside).tolist():
+                a = int(name[i])
+                found.update((a, b) for b in name[near(cells, n, i, percent) & (root != root[i]) & ~guest].tolist() if (b, a) not in found)
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return buckets
+    return cross
 
 
 def _picked(shared):
-    """Rows whose slot is in the bit map."""
+    """Rows whose slot is in the bit map, one of each text a task."""
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits, done = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             at = batch.column("slot").to_numpy()
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool))).select(["doc_id", "text"])
+            rows = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool))).select(["key", "text"])
+            fresh = [k not in done and not done.add(k) for k in rows.column("key").to_pylist()]
+            yield rows.filter(pa.array(fresh, pa.bool_()))
 
     return picked
 
 
-def _held(n: int):
-    """vertex and its set; a row whose text is not its vertex's (ids that repeat) is left out."""
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), n) for t in batch.column("text")]
-            use = [(v, s.tobytes()) for v, s in zip(batch.column("vertex").to_pylist(), sets, strict=True) if len(s) and vertex(s) == v]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in use], pa.int64()), pa.array([s for _, s in use], pa.binary())], ["vertex", "held"])
-
-    return held
-
-
 def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets link."""
     if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
@@ -323,17 +373,15 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(s) + len(t) - same)
 
 
-def _cluster(n: int, percent: int):
-    """Of whole clusters: each vertex with the least of its component, but for those least ones."""
-    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+def _verify(n: int, percent: int):
+    """Links among the pairs of a block, but for those that others of the block imply."""
 
-    def cluster(texts: pa.Table, buckets: pa.Table) -> pa.Table:
+    def verify(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
         for v, t in zip(texts.column("vertex").to_pylist(), texts.column("text"), strict=True):
             if v not in sets and vertex(s := shingles(t.as_py(), n)) == v:
                 sets[v] = s
         parent = {v: v for v in sets}
-        compared: set[tuple[int, int]] = set()
 
         def find(x: int) -> int:
             while parent[x] != x:
@@ -341,30 +389,15 @@ def _cluster(n: int, percent: int):
                 x = parent[x]
             return x
 
-        def compare(x: int, y: int) -> None:
-            a, b = find(x), find(y)
-            if a != b and (pair := (min(x, y), max(x, y))) not in compared:
-                compared.add(pair)
-                if similar(sets[x], sets[y], percent):
-                    parent[max(a, b)] = min(a, b)
-
-        open_ = []
-        for members, centre in zip(buckets.column("members"), buckets.column("centre").to_pylist(), strict=True):
-            names = members.values.to_pylist()
-            for x in names:
-                compare(centre, x)
-            open_.append(names)
-        for names in open_:
-            roots = [find(x) for x in names]
-            if len(set(roots)) > 1:
-                largest = max(set(roots), key=roots.count)
-                for x in [x for x, r in zip(names, roots, strict=True) if r != largest]:
-                    for y in names:
-                        compare(x, y)
-        moved = [(v, r) for v in parent if (r := find(v)) != v]
-        return pa.table([[v for v, _ in moved], [r for _, r in moved]], schema=schema)
-
-    return cluster
+        links = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y and similar(sets[a], sets[b], percent):
+                parent[x] = y
+                links.append((a, b))
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    return verify
 
 
 def _map(ids: DataFrame) -> bytes:
@@ -383,113 +416,76 @@ def _map(ids: DataFrame) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def _verify(percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return verify
-
+def _links(docs: DataFrame, facts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links (a, b) among pairs that make the same components as all of them. docs: key, text; facts: vertex, key, n."""
+    spark = docs.sparkSession
+    lead = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), "b"))["b"].alias("lead"))
+    lead = lead.join(facts.select(F.col("vertex").alias("a"), "n"), "a")
+    weight = lead.groupBy("lead").agg(F.sum("n").alias("weight"))
+    total = int(weight.agg(F.sum("weight")).first()[0] or 0)
+    salt = F.pmod(F.xxhash64("a"), F.ceil(F.col("weight") / BLOCK))
+    homes = lead.join(weight, "lead").select("a", F.pmod(F.xxhash64("lead", salt), F.lit(-(-total // BLOCK) or 1)).cast("int").alias("block"))
+    dealt = pairs.join(homes, "a").select("block", "a", "b").checkpoint()
+    needs = dealt.select("block", F.col("a").alias("vertex")).union(dealt.select("block", F.col("b").alias("vertex"))).distinct()
+
+    slot = F.pmod("key", F.lit(MAP_BITS))
+    asked = facts.join(needs.select("vertex").distinct(), "vertex").select("vertex", "key").checkpoint()
+    shared = spark.sparkContext.broadcast(_map(asked.select(slot.alias("slot"))))
+    texts = docs.select("key", "text", slot.alias("slot")).mapInArrow(_picked(shared), "key bigint, text string").join(asked, "key")
+    left = texts.join(needs, "vertex").select(F.col("block").alias("home"), "vertex", "text")
+    return left.groupBy("home").cogroup(dealt.groupBy("block")).applyInArrow(_verify(words, percent), "a bigint, b bigint").checkpoint()
 
-def _pairs(percent: int, star: bool):
-    """Pairs of buckets: with the central member, or those in different components; sizes that cannot be similar are left out."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            for row in batch.to_pylist():
-                names, sizes = np.array(row["members"], np.int64), np.array(row["sizes"], np.int64)
-                roots = None if star else np.array(row["roots"], np.int64)
-                middle = int(np.flatnonzero(names == row["centre"])[0])
-                for i in [middle] if star else range(len(names)):
-                    fit = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (np.arange(len(names)) != i)
-                    if not star:
-                        fit &= (roots != roots[i]) & (np.arange(len(names)) > i)
-                        fit[middle] = False  # compared before
-                        if i == middle:
-                            continue
-                    a = int(names[i])
-                    seen.update((min(a, b), max(a, b)) for b in names[fit].tolist())
-                if len(seen) > 200_000:
-                    yield _two(seen)
-                    seen = set()
-            yield _two(seen)
-
-    return pairs
-
-
-def _two(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
-
-
-def _by_joins(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, root of the components of buckets whose sets do not fit one task."""
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x, y = sets.select(F.col("vertex").alias("a"), F.col("held").alias("x")), sets.select(F.col("vertex").alias("b"), F.col("held").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
-
-    stars = buckets.mapInArrow(_pairs(percent, True), "a bigint, b bigint").distinct().checkpoint()
-    roots = components(verified(stars).checkpoint())
-    numbered = buckets.withColumn("bucket", F.xxhash64("members"))
-    member = numbered.select("bucket", F.posexplode("members").alias("i", "node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sort_array(F.collect_list(F.struct("i", "root"))).alias("r")).where("low <> high")
-    open_ = numbered.join(several, "bucket").select("members", "sizes", "centre", F.transform("r", lambda r: r["root"]).alias("roots"))
-    rest = open_.mapInArrow(_pairs(percent, False), "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
-    return components(verified(rest).union(roots.select("node", "root")))
-
-
-def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs: doc_id, text. Per row: doc_id, n_shingles and component_id (the least id reachable by links)."""
+def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slice_: int = SLICE) -> DataFrame:
+    """docs: doc_id, text. Per row: doc_id, n_shingles and component_id (the least id reachable by links). Buckets over slice_ members are dealt in slices."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL)).alias("doc_id"), F.col("text").cast("string"))
-    sent = docs.mapInArrow(_send(words, percent, partitions(spark)), _SENT).checkpoint()
-    facts = sent.where("shard = -1").mapInArrow(_facts, "doc_id bigint, n_shingles bigint, vertex bigint")
-    buckets = sent.where("shard >= 0").groupBy("shard").applyInArrow(_buckets(percent), "members array<bigint>, sizes array<bigint>, centre bigint")
-    buckets = buckets.withColumn("bucket", F.xxhash64("members")).dropDuplicates(["bucket", "members"])
-    member = buckets.select("bucket", F.explode(F.arrays_zip("members", "sizes")).alias("m"), "centre").select("bucket", F.col("m.members").alias("vertex"), F.col("m.sizes").alias("size"), "centre")
-    cells = sent.where("shard = -1").mapInArrow(_sketches, "vertex bigint, sketch binary").groupBy("vertex").agg(F.min("sketch").alias("sketch"))
-    member = member.join(cells, "vertex").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(2 * partitions(spark))))
-    buckets = member.groupBy("part").applyInArrow(_split(percent), "members array<bigint>, sizes array<bigint>, centre bigint")
-    buckets = buckets.dropDuplicates(["members"]).checkpoint()
-
-    # Clusters of candidates, their sizes, and the group of clusters that a task takes.
-    member = buckets.select(F.explode(F.arrays_zip("members", "sizes")).alias("m"), "centre").select(F.col("m.members").alias("vertex"), F.col("m.sizes").alias("size"), "centre")
-    near = components(member.select(F.col("vertex").alias("a"), F.col("centre").alias("b")))
-    least = facts.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")).checkpoint()
-    asked = member.groupBy("vertex").agg(F.max("size").alias("size")).join(near.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    weight = asked.groupBy("root").agg(F.sum("size").alias("weight"))
-    asked = asked.join(weight, "root").join(least, "vertex").select("vertex", "doc_id", "root", "size", "weight").checkpoint()
-    total, heaviest = (int(x or 0) for x in asked.agg(F.sum("size"), F.max("weight")).first())
-    groups = -(-total // GROUP) or 1
-    group = F.pmod(F.xxhash64("root"), F.lit(groups)).cast("int")
-
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    shared = spark.sparkContext.broadcast(_map(asked.select(slot.alias("slot"))))
-    texts = docs.withColumn("slot", slot).mapInArrow(_picked(shared), "doc_id bigint, text string").join(asked, "doc_id")
-    rooted = buckets.join(asked.select(F.col("vertex").alias("centre"), "root", "weight"), "centre")
-    light = F.col("weight") <= CLUSTER
-    left = texts.where(light).select("vertex", "text", group.alias("group"))
-    right = rooted.where(light).select("members", "centre", group.alias("group"))
-    roots = left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(_cluster(words, percent), "node bigint, root bigint")
-    if heaviest > CLUSTER:
-        sets = texts.where(~light).select("vertex", "text").mapInArrow(_held(words), "vertex bigint, held binary").groupBy("vertex").agg(F.min("held").alias("held"))
-        roots = roots.union(_by_joins(rooted.where(~light).select("members", "sizes", "centre"), sets, percent))
-    roots = roots.checkpoint()
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = docs.mapInArrow(_facts(words), _FACTS).checkpoint()
+    facts = rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")).checkpoint()
+    total = int(facts.agg(F.sum("n")).first()[0] or 0)
+    shards = max(partitions(spark), total // SHARD)
+    buckets = docs.mapInArrow(_send(words, percent, shards), _SENT).groupBy("shard").applyInArrow(_buckets(slice_), _BUCKETS)
+    buckets = buckets.dropDuplicates(["bucket", "slice"]).checkpoint()
+
+    # Buckets by sketches.
+    cells = facts.select("vertex", "n", "sketch")
+    parts = max(2 * partitions(spark), int(buckets.agg(F.sum(F.size("members"))).first()[0] or 0) // PART)
+    part = F.pmod(F.xxhash64("bucket", "slice"), F.lit(parts)).alias("part")
+    member = buckets.select("bucket", "slices", "slice", "centre", F.explode("members").alias("vertex")).join(cells, "vertex").select("*", part)
+    groups = member.groupBy("part").applyInArrow(_split(percent), _PARTS).dropDuplicates(["bucket", "slice"]).checkpoint()
+
+    # Each member with its centre, then members of different components.
+    held = facts.select("vertex", "key", "n")
+    member = groups.select("bucket", "slices", "slice", "centre", F.explode("members").alias("vertex"))
+    stars = member.where("vertex <> centre").select(F.col("vertex").alias("a"), F.col("centre").alias("b")).distinct()
+    links = _links(docs, held, stars, words, percent)
+    roots = components(links)
+    rooted = member.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).select("bucket", "slices", "slice", "vertex", "root")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket").checkpoint()
+    if several.take(1):
+        open_ = rooted.join(several, "bucket").checkpoint()
+        main = open_.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
+        open_ = open_.join(main, "bucket").withColumn("aside", F.col("root") != F.col("main")).drop("main").withColumn("guest", F.lit(False))
+        visits = open_.where("slices > 1 AND aside").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("to <> slice").withColumn("slice", F.col("to")).withColumn("guest", F.lit(True))
+        rest = open_.unionByName(visits.drop("to")).join(cells, "vertex").select("*", part)
+        pairs = rest.groupBy("part").applyInArrow(_cross(percent), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+        if pairs.take(1):
+            more = _links(docs, held, pairs, words, percent)
+            if more.take(1):
+                roots = components(more.union(roots.select("node", "root")))
 
     # Vertices of one id are one vertex.
-    shared_ids = facts.where("vertex IS NOT NULL").groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b")
-    alike = facts.where("vertex IS NOT NULL").join(shared_ids.select("doc_id", "a"), "doc_id").select("a", F.col("vertex").alias("b")).where("a <> b").checkpoint()
+    named = rows.where("vertex IS NOT NULL AND doc_id IS NOT NULL")
+    shared_ids = named.groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b")
+    alike = named.join(shared_ids.select("doc_id", "a"), "doc_id").select("a", F.col("vertex").alias("b")).where("a <> b").distinct().checkpoint()
     if alike.take(1):
-        roots = components(alike.union(roots))
+        roots = components(alike.union(roots.select("node", "root")))
 
     # Ids: the least of each vertex, then of each component.
-    named = least.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = facts.join(named.join(lowest, "root").select("vertex", "component_id"), "vertex", "left")
-    null = lambda c: F.when(c != _NULL, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    least = facts.select("vertex", "doc_id").join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    lowest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least.join(lowest, "root").select("vertex", "component_id"), "vertex", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
