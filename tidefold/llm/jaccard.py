@@ -16,10 +16,12 @@ Copies of a set are one vertex from the start. A bucket is first split by what
 cannot link: the odd sketches of two sets (the parity of the shingles in each
 of about as many cells as there are shingles) differ in no more places than the
 sets do, so pairs whose sketches differ by more than the threshold allows are
-apart for certain. Of each part the members are compared with one centre, then
-members that still lie in different components with one another, where their
-sketches allow it, so no link between components is lost and a group of copies
-costs one comparison a member.
+apart for certain. Of each part the members are compared with one centre. Then
+members that still lie outside a part's main component are compared with the
+nearest member of another by sketches of FINE times the cells, and at last with
+all members of others that these sketches allow, so no link between components
+is lost, a group of copies costs about one comparison a member, and pairs are
+compared one by one only if they lie within a hair of the threshold.
 
 Nothing is sent once a pair. Pairs are dealt in blocks by the first text; a
 block gets each text that its pairs name once, so the first texts travel once,
@@ -59,8 +61,8 @@ SLICE, PIVOTS = 20_000, 16
 #: Signatures of a shard, rows of a part and shingles of a block, about.
 SHARD, PART, BLOCK = 8_000_000, 50_000, 1_500_000
 _CHUNK = 700_000
-#: One group in so many is spared.
-SPARE = 8
+#: One group in so many is spared; cells of a fine sketch for each of a plain one.
+SPARE, FINE = 8, 8
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -102,9 +104,9 @@ def vertex(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each cell, a bit a cell; cells are the least power of two not below the number of shingles, 64 at least."""
-    cells = 1 << max(6, (len(s) - 1).bit_length())
+def sketch(s: np.ndarray, fine: int = 1) -> bytes:
+    """Parity of the shingles in each cell, a bit a cell; cells are fine times the least power of two not below the number of shingles, 64 at least."""
+    cells = fine << max(6, (len(s) - 1).bit_length())
     odd = np.bincount((mix(s ^ _MULTIPLIERS[6]) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -121,13 +123,16 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
+def spread(rows: np.ndarray, n: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """By how many bits the sketches of sets of n shingles differ from row i's, less what the threshold allows: above 0 no link is possible."""
+    out = np.bitwise_count(rows ^ rows[i]).sum(axis=1, dtype=np.int64) - (n + n[i]) * (100 - percent) // (100 + percent)
+    out[100 * np.minimum(n, n[i]) < percent * np.maximum(n, n[i])] = 1 << 60
+    return out
+
+
 def near(rows: np.ndarray, n: np.ndarray, i: int, percent: int) -> np.ndarray:
     """Which rows of sketches of sets of n shingles may be similar to row i."""
-    most = (n + n[i]) * (100 - percent) // (100 + percent)
-    fit = np.flatnonzero(100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-    out = np.zeros(len(n), bool)
-    out[fit] = np.bitwise_count(rows[fit] ^ rows[i]).sum(axis=1, dtype=np.int64) <= most[fit]
-    return out
+    return spread(rows, n, i, percent) <= 0
 
 
 class Bands:
@@ -335,21 +340,37 @@ def _split(percent: int):
     return split
 
 
-def _cross(percent: int):
-    """Of parts that hold several components: pairs of a member outside the main one with members of others, where sketches allow a link."""
+def _cross(percent: int, nearest: bool):
+    """Of parts that hold several components: pairs of a member outside the main one with the member of others whose sketch is nearest, or with all whose sketches allow a link."""
 
     def cross(rows: pa.Table) -> pa.Table:
         found: set[tuple[int, int]] = set()
         for own, cells in _groups(rows, "bucket", "slice"):
             name, n, root, aside, guest = (own.column(c).to_numpy(zero_copy_only=False) for c in ("vertex", "n", "root", "aside", "guest"))
             for i in np.flatnonzero(aside).tolist():
-                a = int(name[i])
-                found.update((a, b) for b in name[near(cells, n, i, percent) & (root != root[i]) & ~guest].tolist() if (b, a) not in found)
+                a, far = int(name[i]), spread(cells, n, i, percent)
+                far[(root == root[i]) | guest] = 1
+                met = np.flatnonzero(far <= 0)
+                if nearest and len(met):
+                    met = met[[np.argmin(far[met])]]
+                found.update((a, b) for b in name[met].tolist() if (b, a) not in found)
         return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return cross
 
 
+def _sketched(n: int):
+    """Of texts their vertex and FINE sketch."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), n) for t in batch.column("text")]
+            use = [(v, sketch(s, FINE)) for v, s in zip(batch.column("vertex").to_pylist(), sets, strict=True) if vertex(s) == v]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in use], pa.int64()), pa.array([x for _, x in use], pa.binary())], ["vertex", "sketch"])
+
+    return sketched
+
+
 def _picked(shared):
     """Rows whose slot is in the bit map, one of each text a task."""
 
@@ -416,9 +437,17 @@ def _map(ids: DataFrame) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def _texts(docs: DataFrame, facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """vertex, text (at most once a task that read one) of the vertices wanted."""
+    spark = docs.sparkSession
+    slot = F.pmod("key", F.lit(MAP_BITS)).alias("slot")
+    asked = facts.join(wanted, "vertex").select("vertex", "key").checkpoint()
+    shared = spark.sparkContext.broadcast(_map(asked.select(slot)))
+    return docs.select("key", "text", slot).mapInArrow(_picked(shared), "key bigint, text string").join(asked, "key").select("vertex", "text")
+
+
 def _links(docs: DataFrame, facts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The links (a, b) among pairs that make the same components as all of them. docs: key, text; facts: vertex, key, n."""
-    spark = docs.sparkSession
     lead = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), "b"))["b"].alias("lead"))
     lead = lead.join(facts.select(F.col("vertex").alias("a"), "n"), "a")
     weight = lead.groupBy("lead").agg(F.sum("n").alias("weight"))
@@ -428,14 +457,15 @@ def _links(docs: DataFrame, facts: DataFrame, pairs: DataFrame, words: int, perc
     dealt = pairs.join(homes, "a").select("block", "a", "b").checkpoint()
     needs = dealt.select("block", F.col("a").alias("vertex")).union(dealt.select("block", F.col("b").alias("vertex"))).distinct()
 
-    slot = F.pmod("key", F.lit(MAP_BITS))
-    asked = facts.join(needs.select("vertex").distinct(), "vertex").select("vertex", "key").checkpoint()
-    shared = spark.sparkContext.broadcast(_map(asked.select(slot.alias("slot"))))
-    texts = docs.select("key", "text", slot.alias("slot")).mapInArrow(_picked(shared), "key bigint, text string").join(asked, "key")
+    texts = _texts(docs, facts, needs.select("vertex").distinct())
     left = texts.join(needs, "vertex").select(F.col("block").alias("home"), "vertex", "text")
     return left.groupBy("home").cogroup(dealt.groupBy("block")).applyInArrow(_verify(words, percent), "a bigint, b bigint").checkpoint()
 
 
+def _several(rooted: DataFrame) -> DataFrame:
+    return rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slice_: int = SLICE) -> DataFrame:
     """docs: doc_id, text. Per row: doc_id, n_shingles and component_id (the least id reachable by links). Buckets over slice_ members are dealt in slices."""
     spark = docs.sparkSession
@@ -461,18 +491,22 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slice_: in
     links = _links(docs, held, stars, words, percent)
     roots = components(links)
     rooted = member.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).select("bucket", "slices", "slice", "vertex", "root")
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket").checkpoint()
+    several = _several(rooted).checkpoint()
     if several.take(1):
-        open_ = rooted.join(several, "bucket").checkpoint()
-        main = open_.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-        open_ = open_.join(main, "bucket").withColumn("aside", F.col("root") != F.col("main")).drop("main").withColumn("guest", F.lit(False))
-        visits = open_.where("slices > 1 AND aside").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("to <> slice").withColumn("slice", F.col("to")).withColumn("guest", F.lit(True))
-        rest = open_.unionByName(visits.drop("to")).join(cells, "vertex").select("*", part)
-        pairs = rest.groupBy("part").applyInArrow(_cross(percent), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-        if pairs.take(1):
-            more = _links(docs, held, pairs, words, percent)
-            if more.take(1):
-                roots = components(more.union(roots.select("node", "root")))
+        open_ = rooted.join(several, "bucket").drop("root").checkpoint()
+        texts = _texts(docs, held, open_.select("vertex").distinct())
+        fine = texts.mapInArrow(_sketched(words), "vertex bigint, sketch binary").groupBy("vertex").agg(F.first("sketch").alias("sketch")).join(held.select("vertex", "n"), "vertex").checkpoint()
+        for nearest in (True, False):
+            rooted = open_.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).checkpoint()
+            apart = rooted.join(_several(rooted), "bucket")
+            main = apart.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
+            apart = apart.join(main, "bucket").withColumn("aside", F.col("root") != F.col("main")).drop("main").withColumn("guest", F.lit(False))
+            visits = apart.where("slices > 1 AND aside").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("to <> slice").withColumn("slice", F.col("to")).withColumn("guest", F.lit(True))
+            rest = apart.unionByName(visits.drop("to")).join(fine, "vertex").select("*", part)
+            pairs = rest.groupBy("part").applyInArrow(_cross(percent, nearest), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+            if not pairs.take(1):
+                break
+            roots = components(_links(docs, held, pairs, words, percent).union(roots.select("node", "root")))
 
     # Vertices of one id are one vertex.
     named = rows.where("vertex IS NOT NULL AND doc_id IS NOT NULL")
