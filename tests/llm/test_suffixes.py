@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidefold.llm import suffixes as S
@@ -18,10 +19,17 @@ def brute(docs):
             if seen[b[k : k + S.LEAST]] > 1:
                 gone[k : k + S.LEAST] = b"\1" * S.LEAST
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out.append((i, len(b), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(b), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest(), shared_words(data, len(out))))
     return sorted(out, key=str)
 
 
+def shared_words(data, at):
+    """Words of a row in windows of 50 words that another row has too."""
+    windows = lambda b: [tuple(b.split()[k : k + S.PASSAGE]) for k in range(len(b.split()) - S.PASSAGE + 1)]
+    others = {w for k, (_, b) in enumerate(data) if k != at for w in windows(b)}
+    return len({k + j for k, w in enumerate(windows(data[at][1])) if w in others for j in range(S.PASSAGE)})
+
+
 def corpus(seed):
     rng = random.Random(seed)
     make = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
@@ -38,10 +46,7 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_query_equals_brute_force(spark, tmp_path, monkeypatch, hot):
-    """With a small HOT the windows of common anchors are compared by hash."""
-    monkeypatch.setattr(S, "HOT", hot)
+def test_query_equals_brute_force(spark, tmp_path):
     for seed in (1, 2):
         docs = corpus(seed)
         spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, node long").repartition(3).write.parquet(f"{tmp_path}/{seed}/documents.parquet")
@@ -49,6 +54,39 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, hot):
         assert got == brute(docs)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_windows_of_common_anchors_equal_brute_force(spark, hot):
+    """With a small hot the windows of common anchors are compared by hash, in the workers."""
+    docs = corpus(3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, S.repeated_spans(frame, hot).drop("edges").collect()), key=str) == brute(docs)
+    anchors, contexts = np.array([5] * 5, np.uint64).tobytes(), np.arange(5, dtype=np.uint64).tobytes()
+    rows = pa.table({"shard": [0], "anchors": [anchors], "contexts": [contexts], "nodes": [np.arange(5).tobytes()], "numbers": [np.zeros(5, np.uint32).tobytes()]})
+    flags = lambda h: {x[0] for x in S._meet(rows, h).column("flags").to_pylist()}
+    assert flags(hot) == {S._HASH} and flags(5) == {S._SORT}
+
+
+def test_short_passages_of_many_words(spark):
+    """A passage of 55 words has fewer than 400 bytes here: no byte goes, but its words are counted."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randint(100, 999)}" for _ in range(n))
+    p, q = say(55), say(49)
+    docs = [(1, f"{say(20)} {p} {say(30)}"), (2, f"{say(5)}\n{p.replace(' ', '  ', 1)} {say(60)}"), (3, f"{say(60)} {q}"), (4, f"{q} {say(60)}"), (5, say(70)), (6, f"{p} {p} {say(3)}")]
+    got = {r.doc_id: (r.n_removed, r.n_shared_words) for r in S.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: n for i, (_, n) in got.items()} == {1: 55, 2: 55, 3: 0, 4: 0, 5: 0, 6: 110}
+    assert all(n == 0 for n, _ in got.values())
+
+
+def test_words_in_spans(monkeypatch):
+    rng = random.Random(5)
+    data = " ".join(str(rng.randint(0, 50)) for _ in range(3000)).encode()
+    whole = S.Words(data)
+    monkeypatch.setattr(S, "_SPAN", 512)
+    cut = S.Words(data)
+    assert whole.windows.tolist() == cut.windows.tolist() and whole.anchors.tolist() == cut.anchors.tolist()
+    assert len(whole.windows) == 2951
+
+
 def test_long_text_is_looked_at_in_spans(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(0, 250, 30_000).astype(np.uint8).tobytes()

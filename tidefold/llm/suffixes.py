@@ -20,6 +20,12 @@ texts hold) is not sorted in one task: its windows are told apart by two
 64-bit hashes, dealt by hash, and their answers are gathered by text, all as
 packed arrays, so no task gets more than its share.
 
+Natural passages are counted in words as well: 50 words have 290 to 850 bytes in
+ordinary text, so nearly half of the passages of 50 to 70 words are shorter than
+LEAST and lose nothing. ``shared_words`` counts the words in passages of PASSAGE
+words or more that another row has too, whatever their bytes, in the same way:
+anchors first, then the hashes of the windows whose anchors several texts have.
+
 Windows that repeat inside one text are found there; only their first goes to
 the corpus. ``previous_factors`` is the same computation for one text, with
 exact lengths, and ``keep_first`` removes later copies alone.
@@ -41,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +57,8 @@ LEAST = 400
 GRAM = 200
 #: Contexts of an anchor that one task sorts; beyond, its windows are compared by hash.
 HOT = 2_000
+#: Words of a passage that documents share, however few bytes it has.
+PASSAGE = 50
 _SPAN = 1 << 20  # positions that are looked at together
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -270,7 +279,7 @@ def _send(shards: int):
 _WHOLE, _SORT, _HASH = 1, 2, 4
 
 
-def _meet(rows: pa.Table) -> pa.Table:
+def _meet(rows: pa.Table, hot: int) -> pa.Table:
     """Of a shard: per text the numbers of its runs with their flags."""
     full = rows.filter(pa.array([len(x.as_py()) > 0 for x in rows.column("anchors")], pa.bool_()))
     alone = [np.frombuffer(x.as_py(), np.int64)[0] for x, y in zip(rows.column("nodes"), rows.column("anchors"), strict=True) if not y.as_py()]
@@ -291,13 +300,13 @@ def _meet(rows: pa.Table) -> pa.Table:
     new_context = new_anchor | np.append(True, context[1:] != context[:-1])[: len(anchor)]
     copies = np.bincount(of(new_context))[of(new_context)] if len(anchor) else anchor
     contexts = np.bincount(of(new_anchor), new_context)[of(new_anchor)] if len(anchor) else anchor
-    flag = (_WHOLE * (copies > 1) + np.where(contexts > HOT, _HASH, _SORT) * (new_context & (contexts > 1))).astype(np.uint8)
+    flag = (_WHOLE * (copies > 1) + np.where(contexts > hot, _HASH, _SORT) * (new_context & (contexts > 1))).astype(np.uint8)
     use = flag > 0
     node, number, flag = node[use], number[use], flag[use]
     order = np.lexsort((number, node))
     node, number, flag = node[order], number[order], flag[order]
     first = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
-    ends = np.append(first[1:], len(node))
+    ends = np.append(first[1:], len(node))[: len(first)]
     out = [(int(node[a]), number[a:b].tobytes(), flag[a:b].tobytes(), bool((flag[a:b] & (_SORT | _HASH)).any())) for a, b in zip(first, ends, strict=True)]
     out += [(int(n), b"", b"", False) for n in alone]
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
@@ -434,8 +443,113 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["node", "n_removed", "n_spans", "kept_sha256", "edges"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and edges (begin and end of each removed span, bytes)."""
+class Words:
+    """Of each window of PASSAGE words of a text: its hash, and that of its anchor (the half as long string of words of least hash in it)."""
+
+    def __init__(self, data: bytes):
+        own = np.fromiter(map(_words.__getitem__, data.split()), np.uint64)
+        self.windows, self.anchors = (np.zeros(0, np.uint64),) * 2
+        n, gram = len(own) - PASSAGE + 1, PASSAGE // 2
+        if n > 0:
+            windows, anchors = [], []
+            for a in range(0, n, _SPAN // 2):
+                part = own[a : a + _SPAN // 2 + PASSAGE - 1]
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(part * _UP[: len(part)], out=sums[1:])
+                h = lambda w, sums=sums: _mix((sums[w:] - sums[:-w]) * _DOWN[: len(sums) - w])
+                windows.append(h(PASSAGE))
+                anchors.append(np.lib.stride_tricks.sliding_window_view(h(gram), PASSAGE - gram + 1).min(axis=1))
+            self.windows, self.anchors = np.concatenate(windows), np.concatenate(anchors)
+
+
+class _Hashes(dict):
+    """Hashes of words, remembered up to a number that bounds memory alone."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_words = _Hashes()
+
+
+def _packed(shards: int, windows: bool):
+    """Anchors of each text, or its windows whose anchors others have, packed by shard with the text's node."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for k, (node, cell) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
+                w = Words(_bytes(cell))
+                if windows:
+                    asked = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("hashes")[k].as_py()])
+                    hashes.append(np.unique(w.windows[np.isin(w.anchors, asked)]))
+                else:
+                    hashes.append(np.unique(w.anchors))
+                nodes.append(np.full(len(hashes[-1]), node, np.int64))
+            h, n = np.concatenate(hashes), np.concatenate(nodes)
+            shard = h % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            h, n, cuts = h[order], n[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            rows = [(x, h[a:b].tobytes(), n[a:b].tobytes()) for x, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["shard", "hashes", "nodes"])
+
+    return packed
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """Of a shard: per text the hashes that another text has too."""
+    h, n = (np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), t) for c, t in (("hashes", np.uint64), ("nodes", np.int64)))
+    order = np.lexsort((n, h))
+    h, n = h[order], n[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]))[: len(h)]
+    h, n = h[once], n[once]
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[:-1] |= again[1:].copy()
+    order = np.argsort(n[again], kind="stable")
+    h, n = h[again][order], n[again][order]
+    first = np.flatnonzero(np.append(True, n[1:] != n[:-1])[: len(n)])
+    out = [(int(n[a]), h[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(n))[: len(first)], strict=True)]
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["node", "hashes"])
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each text that its shared windows cover; all, if it has copies and is long enough."""
+    for batch in batches:
+        out = []
+        for cell, hashes, copies in zip(batch.column("text"), batch.column("hashes").to_pylist(), batch.column("copies").to_pylist(), strict=True):
+            w = Words(_bytes(cell))
+            again = np.ones(len(w.windows), bool) if copies > 1 else np.isin(w.windows, np.concatenate([np.frombuffer(x, np.uint64) for x in hashes]))
+            edges = np.zeros(len(again) + PASSAGE, np.int64)
+            edges[: len(again)] += again
+            edges[PASSAGE:] -= again
+            out.append(int((np.cumsum(edges) > 0).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.int64())], ["node", "n_shared_words"])
+
+
+def shared_words(texts: DataFrame) -> DataFrame:
+    """texts: node, text, copies (rows of that text), one row a node. node and n_shared_words, of those that share any."""
+    shards = partitions(texts.sparkSession)
+    packed, shared = "shard int, hashes binary, nodes binary", "node bigint, hashes binary"
+    anchors = texts.mapInArrow(_packed(shards, False), packed).groupBy("shard").applyInArrow(_shared, shared)
+    asked = anchors.groupBy(F.col("node").alias("_n")).agg(F.collect_list("hashes").alias("hashes"))
+    again = texts.join(asked, texts["node"] == F.col("_n")).select("node", "text", "hashes")
+    found = again.mapInArrow(_packed(shards, True), packed).groupBy("shard").applyInArrow(_shared, shared)
+    found = found.groupBy(F.col("node").alias("_n")).agg(F.collect_list("hashes").alias("hashes"))
+    work = texts.join(found, texts["node"] == F.col("_n"), "left").where("hashes IS NOT NULL OR copies > 1")
+    return work.select("node", "text", "hashes", "copies").mapInArrow(_covered, "node bigint, n_shared_words bigint")
+
+
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """docs: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, edges (begin and end of each removed span, bytes) and n_shared_words.
+
+    An anchor with more than hot contexts is compared by hash. n_shared_words
+    is the number of words of the whole text that lie in passages of PASSAGE
+    words or more which another row has too.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sha = F.sha2(text.cast("binary"), 256)
@@ -445,7 +559,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     long = rows.where(F.octet_length("text") >= LEAST).select("doc_id", node.alias("node"), "text")
     shards = partitions(spark)
     sent = long.select("node", "text").mapInArrow(_send(shards), "shard int, anchors binary, contexts binary, nodes binary, numbers binary")
-    met = sent.groupBy("shard").applyInArrow(_meet, "node bigint, numbers binary, flags binary, sorts boolean")
+    met = sent.groupBy("shard").applyInArrow(lambda rows: _meet(rows, hot), "node bigint, numbers binary, flags binary, sorts boolean")
     met = met.groupBy("node").agg(F.collect_list("numbers").alias("numbers"), F.collect_list("flags").alias("flags"), F.max("sorts").alias("sorts"))
     # Of each text one row is read again; texts with copies are settled without.
     texts = facts.groupBy("node").agg(F.min("doc_id").alias("_first"), F.count("*").alias("copies"))
@@ -460,7 +574,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = found.groupBy("node").agg(F.collect_list(F.struct("low", "high")).alias("found"))
     work = met.where("copies = 1").join(found, "node", "left").select(F.col("node").alias("_n"), "_first", "numbers", "flags", "found")
     done = long.join(work, same).select("node", "text", "numbers", "flags", "found").mapInArrow(_strip, "node bigint, n_removed bigint, n_spans bigint, kept_sha256 string, edges array<bigint>")
-    out = facts.join(texts, "node").join(done, "node", "left")
+    one = rows.where(F.octet_length("text") >= 2 * PASSAGE - 1).withColumn("node", node).join(texts.withColumnRenamed("node", "_k"), (F.col("node") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    words = shared_words(one.select("node", "text", "copies"))
+    out = facts.join(texts, "node").join(done, "node", "left").join(words.groupBy("node").agg(F.max("n_shared_words").alias("n_shared_words")), "node", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LEAST)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     pick = lambda gone, else_: F.when(all_gone, gone).otherwise(else_)
@@ -471,6 +587,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         pick(F.lit(1).cast("bigint"), F.coalesce("n_spans", F.lit(0).cast("bigint"))).alias("n_spans"),
         pick(nothing, F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         pick(F.array(F.lit(0).cast("bigint"), F.col("n_bytes")), F.coalesce("edges", F.array().cast("array<bigint>"))).alias("edges"),
+        F.coalesce("n_shared_words", F.lit(0).cast("bigint")).alias("n_shared_words"),
     )
 
 
