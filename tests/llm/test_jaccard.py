@@ -142,6 +142,14 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     assert sorted(out, key=str) == sorted(stay, key=str)
 
 
+def test_one_of_each_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3), (2, text, 4, 5, 6), (3, "", 7, 8, 9)], "doc_id long, text string, _key int, component_id int, vertex int")
+    out = jaccard.one_of_each(spark, docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, text, 1, 2, 3), (3, "", 7, 8, 9)]
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 2000 + i) for i in range(1, 60)]

@@ -120,3 +120,16 @@ def test_planted_passages_go(spark):
     out = {r.doc_id: r.text for r in lines.strip_passages(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for i, t in docs:
         assert out[i].split("\n") == [x for x in t.split("\n") if x not in gone.get(i, [])]
+
+
+def test_clashing_columns_pass_through(spark):
+    same = "\n".join(f"shared line {k}" for k in range(12))
+    schema = "doc_id long, text string, _id int, n_lines int, _gone int, `a.b` int, _rest int"
+    docs = spark.createDataFrame([(1, same, 1, 2, 3, 4, 5), (2, same + "\nown\nlines", 6, 7, 8, 9, 10), (None, None, 1, 1, 1, 1, 1)], schema)
+    for strip in (lines.strip_documents, lines.strip_passages):
+        out = strip(spark, docs)
+        assert out.columns == docs.columns
+        assert sorted((r[0], *r[2:]) for r in out.collect() if r[0]) == [(1, 2 - 1, 2, 3, 4, 5), (2, 6, 7, 8, 9, 10)]
+    out = lines.dedup_lines(docs)
+    assert [c for c in out.columns if c != "n_lines"] == ["doc_id", "text", "_id", "_gone", "a.b", "_rest", "n_lines_removed", "n_chunks_removed"]
+    assert sorted(r.n_lines for r in out.collect()) == [0, 12, 14]

@@ -83,6 +83,14 @@ def test_mix_documents(spark):
     assert out.count() == 150
 
 
+def test_rows_alike_have_their_own_verdicts(spark):
+    """Six equal rows of 4 words: 150 % are 36 words, nine rows; columns named as the operator's own pass through."""
+    docs = spark.createDataFrame([(1, "a b c d", "s", "x", 5)] * 6 + [(None, None, None, "y", 6)], "doc_id long, text string, source string, _id string, row int")
+    out = mixing.mix_documents(spark, docs)
+    assert out.columns == docs.columns
+    assert list(map(tuple, out.collect())) == [(1, "a b c d", "s", "x", 5)] * 9
+
+
 def test_many_sources(spark, tmp_path, monkeypatch):
     """More sources than the flow may hold give the same rows without it."""
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ def prepare(spark: SparkSession) -> None:
     """Make checkpoints and Python workers usable on any session.
 
     The checkpoint folder is the one in ``spark.checkpoint.dir``; a local one
-    is set only where that is unset (tests). Workers get this package's
+    is set only where that is unset and all runs in one process (tests); on a
+    cluster that is an error. Workers get this package's
     parent folder on their path.
     """
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidefold-checkpoint-"))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -45,3 +49,19 @@ def lower_ascii(text: Column) -> Column:
 def id_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (string) and _rest, a struct of all columns but text, so that none can clash with an operator's own."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_rest"))
+
+
+def unpacked(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of packed rows as they were, but for those changed."""
+    return [changed.get(c, F.col("text") if c == "text" else F.col("_rest").getField(c)).alias(c) for c in columns]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    prepare(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"

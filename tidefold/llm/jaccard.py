@@ -46,10 +46,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import WORD, partitions, prepare, table
+from tidefold.llm.common import WORD, packed, partitions, prepare, table, unpacked
 from tidefold.llm.graph import components
 
 WORDS = 5
@@ -536,13 +536,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     linked with nothing and all stay.
     """
     prepare(spark)
-    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")))
-    full = keyed.where(worded)
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = packed(docs)
+    full = rows.where(worded).withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     linked = link(full.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
     names = full.select("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key")).alias("name"))
     least = names.distinct().join(linked.distinct(), "_key").groupBy("component_id").agg(F.min("name").alias("name")).select(F.col("name.key").alias("_key"))
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.to_json(F.struct(*others)) if others else F.lit(0)
-    ranked = full.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(order))).where("_rank = 1")
-    return ranked.join(least, "_key", "left_semi").select(docs.columns).unionByName(docs.where(~worded))
+    # Of rows alike in id and text one stays, the least as JSON; the least is found before rows meet.
+    kept = full.join(least, "_key", "left_semi").groupBy("_key").agg(F.min_by(F.struct("text", "_rest"), F.to_json("_rest")).alias("one")).select("one.*")
+    return kept.select(unpacked(docs.columns)).unionByName(rows.where(~worded).select(unpacked(docs.columns)))

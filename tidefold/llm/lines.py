@@ -24,7 +24,8 @@ place of a window that repeats, so each repeated window stays whole once.
 Defined cases: null text stays null; a text without a repeated chunk stays as
 it is, byte for byte; chunks with fewer than two lines that are not blank are
 kept; rows alike in id and text are one document and keep the same chunks; an
-empty table gives no rows; other columns pass through.
+empty table gives no rows; other columns pass through whatever their names, but
+for the counts that an operator adds.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import prepare, table
+from tidefold.llm.common import packed, prepare, table, unpacked
 
 #: One line in so many is a mark.
 CUT = 4
 LEAST_LINES = 2
+_ADDED = ("n_lines", "n_lines_removed", "n_chunks_removed")
 
 
 def _let(value: Column, body) -> Column:
@@ -109,19 +111,18 @@ def _repeats(keyed: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) with text shortened and the columns n_lines, n_lines_removed and n_chunks_removed added."""
-    columns = docs.columns
-    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_t"))
+    """docs (doc_id, text and others) with text shortened and the columns n_lines, n_lines_removed and n_chunks_removed added, in place of any of these names."""
+    full = packed(docs).withColumn("_t", F.xxhash64("text"))
+    keyed = full.where("text IS NOT NULL").select("doc_id", "text", "_t")
     _, copies = _repeats(keyed, chunks)
     gone = copies.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_set("i").alias("_gone"))
 
-    full = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
-    out = full.join(gone, _same(full, gone), "left").withColumn("_c", F.when(F.col("_gone").isNotNull(), chunks(F.col("text").cast("string"))))
+    out = full.join(gone, _same(full, gone), "left").withColumn("_c", F.when(F.col("_gone").isNotNull(), chunks(F.col("text"))))
     out = out.withColumn("_left", F.filter("_c", lambda c, i: ~F.array_contains("_gone", i)))
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     after = F.aggregate("_left", F.lit(0), lambda a, c: a + F.size(c["lines"]))
     return out.select(
-        *(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_left", lambda c: c["lines"])), "\n")).alias("text") if c == "text" else F.col(c) for c in columns),
+        *unpacked([c for c in docs.columns if c not in _ADDED], text=F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_left", lambda c: c["lines"])), "\n"))),
         F.when(F.col("text").isNull(), 0).otherwise(lines).cast("bigint").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(lines - after).cast("bigint").alias("n_lines_removed"),
         F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("bigint").alias("n_chunks_removed"),
@@ -129,22 +130,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) with every repeated passage of two lines or more taken out of text, and the columns n_lines and n_lines_removed added."""
-    columns = docs.columns
-    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_t"))
+    """docs (doc_id, text and others) with every repeated passage of two lines or more taken out of text, and the columns n_lines and n_lines_removed added, in place of any of these names."""
+    full = packed(docs).withColumn("_t", F.xxhash64("text"))
+    keyed = full.where("text IS NOT NULL").select("doc_id", "text", "_t")
     held, copies = _repeats(keyed, passages)
     marks = copies.select("doc_id", "_t", "i", F.lit(False).alias("stays")).unionByName(held.where("is_first").select("doc_id", "_t", F.col("_i").alias("i"), F.lit(True).alias("stays")))
     marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_set(F.when(~F.col("stays"), F.col("i"))).alias("_gone"), F.collect_set(F.when(F.col("stays"), F.col("i"))).alias("_kept")).where(F.size("_gone") > 0)
 
-    full = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
-    out = full.join(marks, _same(full, marks), "left").withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
-    out = out.withColumn("_w", F.when(F.col("_gone").isNotNull(), F.transform(passages(F.col("text").cast("string")), lambda w: F.struct(w["low"].alias("low"), w["high"].alias("high")))))
+    out = full.join(marks, _same(full, marks), "left").withColumn("_lines", F.split("text", "\n", -1))
+    out = out.withColumn("_w", F.when(F.col("_gone").isNotNull(), F.transform(passages(F.col("text")), lambda w: F.struct(w["low"].alias("low"), w["high"].alias("high")))))
     covered = lambda name: F.flatten(F.transform(name, lambda i: F.sequence(F.get(F.col("_w"), i)["low"], F.get(F.col("_w"), i)["high"])))
     out = out.withColumn("_drop", F.array_except(covered("_gone"), covered("_kept")))
     out = out.withColumn("_left", F.when(F.size("_drop") > 0, F.filter("_lines", lambda _, j: ~F.array_contains("_drop", j))))
     n_lines = F.coalesce(F.size("_lines"), F.lit(0))
     return out.select(
-        *(F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")).alias("text") if c == "text" else F.col(c) for c in columns),
+        *unpacked([c for c in docs.columns if c not in _ADDED[:2]], text=F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))),
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
         F.when(F.col("_left").isNull(), 0).otherwise(n_lines - F.size("_left")).cast("bigint").alias("n_lines_removed"),
     )
@@ -160,17 +160,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with repeated chunks taken out and n_chars counted again; a document that consisted of nothing else goes."""
     prepare(spark)
-    return _stripped(docs, dedup_lines(docs), "n_chunks_removed")
+    return _stripped(docs, dedup_lines, "n_chunks_removed")
 
 
 def strip_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with every repeated passage of two lines or more taken out, otherwise as strip_documents. docs is read several times."""
     prepare(spark)
-    return _stripped(docs, dedup_passages(docs), "n_lines_removed")
+    return _stripped(docs, dedup_passages, "n_lines_removed")
 
 
-def _stripped(docs: DataFrame, done: DataFrame, removed: str) -> DataFrame:
+def _stripped(docs: DataFrame, dedup, removed: str) -> DataFrame:
+    done = dedup(packed(docs))
     done = done.where((F.col("text") != "") | F.col("text").isNull() | (F.col(removed) == 0))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+        changed["n_chars"] = F.when(F.col(removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("_rest").getField("n_chars"))
+    return done.select(unpacked(docs.columns, **changed))

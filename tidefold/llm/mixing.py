@@ -28,7 +28,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import WORD, partitions, prepare, table
+from tidefold.llm.common import WORD, packed, partitions, prepare, shared_folder, table, unpacked
 
 #: Fixed by the contract: weights in turn, share of all sizes that the mix takes, greatest number of passes.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """docs: doc_id, members (array of source names, null among them allowed), size (long), salt (long).
 
     Adds pattern, targets (array of struct source, source_size, target, for the
-    document's own sources) and taken. docs is read several times, so pass a
+    document's own sources) and taken; a column named row is kept. docs is read several times, so pass a
     checkpointed or written table without texts.
     """
     spark = docs.sparkSession
@@ -193,7 +193,7 @@ def _drawn(keyed: DataFrame, facts: DataFrame, most: int, seed: int, small) -> D
     edge = sums.withColumn("before", before).where("before < rest AND before + n >= rest").select("pattern", F.col("_b").alias("edge"), (F.col("rest") - F.col("before")).alias("need"))
     cut = drawn.join(small(edge), "pattern", "left")  # one row a pattern
     extra = F.coalesce((F.col("_b") < F.col("edge")).cast("bigint"), F.lit(0))
-    out = ["doc_id", "size", "targets", "pattern", "taken"]
+    out = ["doc_id", "size", "targets", "pattern", "taken", *(["row"] if "row" in keyed.columns else [])]
     plain = cut.where("edge IS NULL OR _b <> edge").withColumn("taken", (F.col("whole") + extra) * F.col("size")).select(out)
     order = Window.partitionBy("pattern").orderBy("_h", "doc_id", "size", "salt").rowsBetween(Window.unboundedPreceding, -1)
     ordered = cut.where("_b = edge").withColumn("_sum", F.coalesce(F.sum("size").over(order), F.lit(0)))
@@ -202,29 +202,31 @@ def _drawn(keyed: DataFrame, facts: DataFrame, most: int, seed: int, small) -> D
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, members (the row's own source), size in words and a salt from the text."""
+    """doc_id, members (the row's own source), size in words, a salt from the text, and row, if there is one."""
     text = F.col("text").cast("string")
     return docs.select(
         "doc_id",
         F.array(F.col("source").cast("string")).alias("members"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint")).alias("size"),
         F.xxhash64(text).alias("salt"),
+        *(["row"] if "row" in docs.columns else []),
     )
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    mixed = mix(sized(table(spark, sf_dir, "documents")).checkpoint())
+    mixed = mix(sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).checkpoint())
     return mixed.select("doc_id", "size", F.col("targets")[0]["source_size"].alias("source_size"), F.col("targets")[0]["target"].alias("target"), "taken")
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows of docs as often as the mix takes them: not at all, once or twice."""
     prepare(spark)
-    taken = mix(sized(docs).checkpoint())
-    # Rows alike in id and size are interchangeable; each has its own verdict.
-    copies = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("_n"))
-    copies = copies.groupBy("_id", "_size").agg(F.max("_n").alias("_n"))
-    own = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
-    joined = docs.withColumn("_own", own).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
-    return joined.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    # Rows are numbered and written, so that each of those alike in id and text has a verdict of its own.
+    folder = shared_folder(spark)
+    packed(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    source = F.col("_rest").getField("source").alias("source")
+    taken = mix(sized(rows.select("doc_id", "text", source, "row")).checkpoint())
+    verdicts = taken.where("taken > 0").select("row", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    return rows.join(verdicts.select("row"), "row").select(unpacked(docs.columns))
