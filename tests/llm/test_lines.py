@@ -133,3 +133,13 @@ def test_clashing_columns_pass_through(spark):
     out = lines.dedup_lines(docs)
     assert [c for c in out.columns if c != "n_lines"] == ["doc_id", "text", "_id", "_gone", "a.b", "_rest", "n_lines_removed", "n_chunks_removed"]
     assert sorted(r.n_lines for r in out.collect()) == [0, 12, 14]
+
+
+def test_long_text_of_repeated_lines(spark):
+    """Two texts of 20,000 lines that share all but some: in time only if pieces are computed once a row."""
+    own = "\n".join(f"line {k}" for k in range(20_000))
+    other = "\n".join(f"line {k}" if k % 50 else f"other {k}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, own), (2, other)], "doc_id long, text string")
+    out = {r.doc_id: r.text.split("\n") for r in lines.strip_passages(spark, docs).collect()}
+    assert out[1] == own.split("\n") and out[2] == [f"other {k}" for k in range(0, 20_000, 50)]
+    assert all(r.text for r in lines.strip_documents(spark, docs).collect())

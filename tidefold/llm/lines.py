@@ -21,6 +21,11 @@ the next that is not, found and compared in the same way. A line goes if a
 window that stands earlier elsewhere covers it, unless it belongs to the first
 place of a window that repeats, so each repeated window stays whole once.
 
+Each expression over a text's pieces computes them once for the row, by a
+lambda over an array of one: a column that is used inside a lambda would be
+computed for each of its elements once the optimiser has put it there, which
+takes the square of the pieces of a very long text.
+
 Defined cases: null text stays null; a text without a repeated chunk stays as
 it is, byte for byte; chunks with fewer than two lines that are not blank are
 kept; rows alike in id and text are one document and keep the same chunks; an
@@ -72,6 +77,11 @@ def chunks(text: Column) -> Column:
     return _let(lines, lambda v: _let(F.struct(v.alias("lines"), F.transform(v, lambda s: F.xxhash64(s)).alias("hashes")), cut))
 
 
+def _full(lines: Column) -> Column:
+    """Places of the lines that are not blank."""
+    return F.filter(F.transform(lines, lambda s, i: F.when(F.length(F.trim(s)) > 0, i)), lambda i: i.isNotNull())
+
+
 def passages(text: Column) -> Column:
     """Array of structs lines (array), hash, multi (true), low and high (places of the first and last line): each line that is not blank with the next that is not."""
 
@@ -85,8 +95,7 @@ def passages(text: Column) -> Column:
 
         return F.transform(F.slice(x["full"], 1, F.greatest(F.size(x["full"]) - 1, F.lit(0))), window)
 
-    full = lambda v: F.filter(F.transform(v, lambda s, i: F.when(F.length(F.trim(s)) > 0, i)), lambda i: i.isNotNull())
-    return _let(F.split(text, "\n", -1), lambda v: _let(F.struct(v.alias("lines"), full(v).alias("full")), windows))
+    return _let(F.split(text, "\n", -1), lambda v: _let(F.struct(v.alias("lines"), _full(v).alias("full")), windows))
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -102,9 +111,9 @@ def _repeats(keyed: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
     # Which pieces of each document are first, or copies to compare, by hash.
     held = light.join(firsts, "hash").select("doc_id", "_t", "_i", "hash", (F.struct("doc_id", "_t", "_i") == F.col("first")).alias("is_first")).distinct()
     lists = held.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_list(F.struct("_i", "hash", "is_first")).alias("_held"))
-    joined = keyed.join(lists, _same(keyed, lists)).select("doc_id", "_t", "_held", cut(F.col("text")).alias("_c"))
-    texts = joined.select("doc_id", "_t", F.explode(F.transform("_held", lambda h: F.struct(h["_i"].alias("i"), h["hash"].alias("hash"), h["is_first"].alias("is_first"), F.array_join(F.get(F.col("_c"), h["_i"])["lines"], "\n").alias("chunk")))).alias("h"))
-    texts = texts.select("doc_id", "_t", "h.*")
+    joined = keyed.join(lists, _same(keyed, lists)).select("doc_id", "_t", "_held", "text")
+    piece = lambda c: F.transform("_held", lambda h: F.struct(h["_i"].alias("i"), h["hash"].alias("hash"), h["is_first"].alias("is_first"), F.array_join(F.get(c, h["_i"])["lines"], "\n").alias("chunk")))
+    texts = joined.select("doc_id", "_t", F.explode(_let(cut(F.col("text")), piece)).alias("h")).select("doc_id", "_t", "h.*")
     kept = texts.where("is_first").groupBy("hash").agg(F.min("chunk").alias("_first"))
     copies = texts.where("NOT is_first").join(kept, "hash").where("chunk = _first")
     return held, copies
@@ -117,14 +126,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     _, copies = _repeats(keyed, chunks)
     gone = copies.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_set("i").alias("_gone"))
 
-    out = full.join(gone, _same(full, gone), "left").withColumn("_c", F.when(F.col("_gone").isNotNull(), chunks(F.col("text"))))
-    out = out.withColumn("_left", F.filter("_c", lambda c, i: ~F.array_contains("_gone", i)))
+    left = lambda c: _let(
+        F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col("_gone")),
+        lambda keep: _let(F.flatten(F.transform(keep, lambda k: F.get(c, k)["lines"])), lambda v: F.struct(F.array_join(v, "\n").alias("text"), F.size(v).alias("n"))),
+    )
+    out = full.join(gone, _same(full, gone), "left").withColumn("_done", F.when(F.col("_gone").isNotNull(), _let(chunks(F.col("text")), left)))
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
-    after = F.aggregate("_left", F.lit(0), lambda a, c: a + F.size(c["lines"]))
     return out.select(
-        *unpacked([c for c in docs.columns if c not in _ADDED], text=F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_left", lambda c: c["lines"])), "\n"))),
+        *unpacked([c for c in docs.columns if c not in _ADDED], text=F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_done.text"))),
         F.when(F.col("text").isNull(), 0).otherwise(lines).cast("bigint").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(lines - after).cast("bigint").alias("n_lines_removed"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(lines - F.col("_done.n")).cast("bigint").alias("n_lines_removed"),
         F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("bigint").alias("n_chunks_removed"),
     )
 
@@ -137,16 +148,18 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     marks = copies.select("doc_id", "_t", "i", F.lit(False).alias("stays")).unionByName(held.where("is_first").select("doc_id", "_t", F.col("_i").alias("i"), F.lit(True).alias("stays")))
     marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_set(F.when(~F.col("stays"), F.col("i"))).alias("_gone"), F.collect_set(F.when(F.col("stays"), F.col("i"))).alias("_kept")).where(F.size("_gone") > 0)
 
-    out = full.join(marks, _same(full, marks), "left").withColumn("_lines", F.split("text", "\n", -1))
-    out = out.withColumn("_w", F.when(F.col("_gone").isNotNull(), F.transform(passages(F.col("text")), lambda w: F.struct(w["low"].alias("low"), w["high"].alias("high")))))
-    covered = lambda name: F.flatten(F.transform(name, lambda i: F.sequence(F.get(F.col("_w"), i)["low"], F.get(F.col("_w"), i)["high"])))
-    out = out.withColumn("_drop", F.array_except(covered("_gone"), covered("_kept")))
-    out = out.withColumn("_left", F.when(F.size("_drop") > 0, F.filter("_lines", lambda _, j: ~F.array_contains("_drop", j))))
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0))
+    def left(v: Column) -> Column:
+        covered = lambda full, name: F.flatten(F.transform(F.col(name), lambda i: F.sequence(F.get(full, i), F.get(full, i + 1))))
+        drop = lambda full: F.array_except(covered(full, "_gone"), covered(full, "_kept"))
+        keep = lambda full: F.array_except(F.sequence(F.lit(0), F.size(v) - 1), drop(full))
+        return _let(_full(v), lambda full: _let(keep(full), lambda k: F.struct(F.array_join(F.transform(k, lambda j: F.get(v, j)), "\n").alias("text"), F.size(k).alias("n"))))
+
+    out = full.join(marks, _same(full, marks), "left").withColumn("_done", F.when(F.col("_gone").isNotNull(), _let(F.split("text", "\n", -1), left)))
+    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     return out.select(
-        *unpacked([c for c in docs.columns if c not in _ADDED[:2]], text=F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))),
+        *unpacked([c for c in docs.columns if c not in _ADDED[:2]], text=F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_done.text"))),
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
-        F.when(F.col("_left").isNull(), 0).otherwise(n_lines - F.size("_left")).cast("bigint").alias("n_lines_removed"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(n_lines - F.col("_done.n")).cast("bigint").alias("n_lines_removed"),
     )
 
 
