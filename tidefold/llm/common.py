@@ -65,3 +65,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which driver and executors share."""
     prepare(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def written(docs: DataFrame) -> DataFrame:
+    """docs, written as Parquet to a folder that all share and read again: smaller than a checkpoint of texts."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
+    docs.write.parquet(folder)
+    return spark.read.parquet(folder)

@@ -58,8 +58,8 @@ PERCENT = 80
 MAP_BITS = 1 << 24
 #: Members of a bucket that are split together, and those that the slices of a larger one share.
 SLICE, PIVOTS = 20_000, 16
-#: Signatures of a shard, rows of a part and shingles of a block, about.
-SHARD, PART, BLOCK = 8_000_000, 50_000, 1_500_000
+#: Signatures of a shard, rows of a part and of a group of parts that are compared again, and shingles of a block, about.
+SHARD, PART, GROUP, BLOCK = 8_000_000, 50_000, 300_000, 1_500_000
 _CHUNK = 700_000
 #: One group in so many is spared; cells of a fine sketch for each of a plain one.
 SPARE, FINE = 8, 8
@@ -343,10 +343,18 @@ def _split(percent: int):
 def _cross(percent: int, nearest: bool):
     """Of parts that hold several components: pairs of a member outside the main one with the member of others whose sketch is nearest, or with all whose sketches allow a link."""
 
-    def cross(rows: pa.Table) -> pa.Table:
+    def cross(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        at = {v: i for i, v in enumerate(texts.column("node").to_pylist())}
+        sizes, sketches = texts.column("n").to_numpy(), texts.column("sketch")
+        rows = rows.sort_by([("bucket", "ascending"), ("slice", "ascending")])
+        bucket, slice_, vertices, roots, asides, guests = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "slice", "vertex", "root", "aside", "guest"))
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (slice_[1:] != slice_[:-1]))[: len(bucket)]
+        begin = np.flatnonzero(new)
         found: set[tuple[int, int]] = set()
-        for own, cells in _groups(rows, "bucket", "slice"):
-            name, n, root, aside, guest = (own.column(c).to_numpy(zero_copy_only=False) for c in ("vertex", "n", "root", "aside", "guest"))
+        for x, y in zip(begin.tolist(), np.append(begin[1:], len(bucket))[: len(begin)].tolist(), strict=True):
+            name, root, aside, guest = vertices[x:y], roots[x:y], asides[x:y], guests[x:y]
+            own = np.array([at[v] for v in name.tolist()])
+            n, cells = sizes[own], folded([sketches[i].as_py() for i in own.tolist()])
             for i in np.flatnonzero(aside).tolist():
                 a, far = int(name[i]), spread(cells, n, i, percent)
                 far[(root == root[i]) | guest] = 1
@@ -493,17 +501,23 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slice_: in
     rooted = member.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).select("bucket", "slices", "slice", "vertex", "root")
     several = _several(rooted).checkpoint()
     if several.take(1):
-        open_ = rooted.join(several, "bucket").drop("root").checkpoint()
+        open_ = member.join(several, "bucket").select("bucket", "slices", "slice", "vertex")
         texts = _texts(docs, held, open_.select("vertex").distinct())
         fine = texts.mapInArrow(_sketched(words), "vertex bigint, sketch binary").groupBy("vertex").agg(F.first("sketch").alias("sketch")).join(held.select("vertex", "n"), "vertex").checkpoint()
         for nearest in (True, False):
-            rooted = open_.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).checkpoint()
-            apart = rooted.join(_several(rooted), "bucket")
-            main = apart.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-            apart = apart.join(main, "bucket").withColumn("aside", F.col("root") != F.col("main")).drop("main").withColumn("guest", F.lit(False))
+            rooted = open_.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+            # The largest component of each bucket, and how many rows the buckets of one have: as many as make a group are compared in one task.
+            main = rooted.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.sum("count").alias("rows"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds").checkpoint()
+            heavy = main.groupBy("main").agg(F.sum("rows").alias("weight"))
+            total = int(main.agg(F.sum("rows")).first()[0] or 0)
+            place = main.join(heavy, "main").select("bucket", "main", F.ceil(F.col("weight") / GROUP).alias("salts"))
+            apart = rooted.join(place, "bucket").withColumn("aside", F.col("root") != F.col("main")).withColumn("guest", F.lit(False))
             visits = apart.where("slices > 1 AND aside").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("to <> slice").withColumn("slice", F.col("to")).withColumn("guest", F.lit(True))
-            rest = apart.unionByName(visits.drop("to")).join(fine, "vertex").select("*", part)
-            pairs = rest.groupBy("part").applyInArrow(_cross(percent, nearest), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+            group = F.pmod(F.xxhash64("main", F.pmod(F.xxhash64("bucket", "slice"), F.col("salts"))), F.lit(max(2 * partitions(spark), total // GROUP))).cast("int").alias("group")
+            rest = apart.unionByName(visits.drop("to")).select(group, "bucket", "slice", "vertex", "root", "aside", "guest")
+            needs = rest.select(F.col("group").alias("home"), F.col("vertex").alias("node")).distinct().join(fine.withColumnRenamed("vertex", "node"), "node").select("home", "node", "n", "sketch")
+            pairs = needs.groupBy("home").cogroup(rest.groupBy("group")).applyInArrow(_cross(percent, nearest), "a bigint, b bigint")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
             if not pairs.take(1):
                 break
             roots = components(_links(docs, held, pairs, words, percent).union(roots.select("node", "root")))

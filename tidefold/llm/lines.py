@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import packed, prepare, table, unpacked
+from tidefold.llm.common import packed, prepare, table, unpacked, written
 
 #: One line in so many is a mark.
 CUT = 4
@@ -177,9 +177,9 @@ def strip_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def strip_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with every repeated passage of two lines or more taken out, otherwise as strip_documents. docs is read several times."""
+    """docs with every repeated passage of two lines or more taken out, otherwise as strip_documents. docs is written first, as it is read several times."""
     prepare(spark)
-    return _stripped(docs, dedup_passages, "n_lines_removed")
+    return _stripped(written(docs), dedup_passages, "n_lines_removed")
 
 
 def _stripped(docs: DataFrame, dedup, removed: str) -> DataFrame:

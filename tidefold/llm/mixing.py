@@ -28,7 +28,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import WORD, packed, partitions, prepare, shared_folder, table, unpacked
+from tidefold.llm.common import WORD, packed, partitions, prepare, table, unpacked, written
 
 #: Fixed by the contract: weights in turn, share of all sizes that the mix takes, greatest number of passes.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -223,9 +223,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows of docs as often as the mix takes them: not at all, once or twice."""
     prepare(spark)
     # Rows are numbered and written, so that each of those alike in id and text has a verdict of its own.
-    folder = shared_folder(spark)
-    packed(docs).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
-    rows = spark.read.parquet(folder)
+    rows = written(packed(docs).withColumn("row", F.monotonically_increasing_id()))
     source = F.col("_rest").getField("source").alias("source")
     taken = mix(sized(rows.select("doc_id", "text", source, "row")).checkpoint())
     verdicts = taken.where("taken > 0").select("row", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
