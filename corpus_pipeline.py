@@ -25,7 +25,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.strip_passages(spark, jaccard.one_of_each(spark, docs).checkpoint())
+    return lines.strip_passages(spark, jaccard.one_of_each(spark, docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
