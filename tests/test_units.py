@@ -236,3 +236,35 @@ def test_rename_refusals(spark):
             rename(df, bad)
     with pytest.raises(ValueError):
         align(df, {"z": "int"})
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """A start with nothing new returns the state, one with more rows goes on from it."""
+    from tidefold.streaming import apply
+
+    schema = "k long, value double, ord long, operation string"
+    run = lambda: sorted(map(tuple, apply.apply_stream(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), "k long, value double", ["k"], "ord").collect()))
+    spark.createDataFrame([(1, 1.0, 1, "INSERT"), (2, 2.0, 2, "INSERT")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == run() == [(1, 1.0), (2, 2.0)]
+    spark.createDataFrame([(1, 1.5, 3, "UPDATE"), (2, 2.0, 4, "DELETE")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == run() == [(1, 1.5)]
+
+
+def test_nothing_is_released_before_every_partition_is_seen(spark, tmp_path):
+    from tidefold.streaming import apply
+
+    schema = "part long, tso long"
+    rows = lambda x: spark.createDataFrame(x, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: sorted(map(tuple, apply.resolved_stream(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), schema, [0, 1]).collect()))
+    rows([(0, 5), (0, 9)])
+    assert run() == []
+    rows([(1, 7), (1, 3)])
+    assert run() == [(0, 5), (1, 3)]
+
+
+def test_refusals(spark):
+    from tidefold.operators import cdc
+
+    events = [(1, "INSERT", None, {"k": "1", "v": None}), (2, "UPDATE", {"k": "1"}, {"v": "2"}), (3, "DELETE", {"k": "1"}, None), (4, "DELETE", {"v": "1"}, {"k": "1"}), (5, "DELETE", None, None), (6, "INSERT", None, None)]
+    got = {r.ord: r.refusal for r in cdc.refusals(spark.createDataFrame(events, "ord int, operation string, before map<string,string>, after map<string,string>"), ["k", "v"], ["k"]).collect()}
+    assert got == {1: None, 2: "incomplete after image", 3: None, 4: None, 5: "no key", 6: "incomplete after image"}

@@ -183,3 +183,44 @@ def last_write_wins(target: DataFrame, changes: DataFrame, key: str, order: str,
 
     joined = target.withColumn("_t", F.lit(True)).join(each, key, "full").withColumn("_s", F.when(F.col("_c").isNull(), state).otherwise(F.aggregate("_c", state, step)))
     return joined.where("_s.here").select(key, F.col("_s.ver").alias(version), F.col("_s.val").alias(value), F.col("_s.lost").alias("n_lost"))
+
+
+def unapplied(events: DataFrame, acked: DataFrame, stream: str, position: str) -> DataFrame:
+    """Events after the newest position that their stream has acknowledged (acked: stream, position), each position once; a stream without one starts at the beginning."""
+    newest = acked.groupBy(stream).agg(F.max(position).alias("_newest"))
+    after = events.join(newest, stream, "left").where(F.col("_newest").isNull() | (F.col(position) > F.col("_newest"))).drop("_newest")
+    return after.dropDuplicates([stream, position])
+
+
+def distinct_ddl(statements: DataFrame, group: Sequence[str], names: Sequence[str], others: Sequence[str], order: str) -> DataFrame:
+    """Statements of a group once each, names compared (and given) in lower case, at the least order."""
+    lowered = statements.withColumns({n: F.lower(n) for n in names})
+    return lowered.groupBy(*group, *names, *others).agg(F.min(order).alias(order))
+
+
+def drained(log: DataFrame, stream: str, order: str, fails: str) -> DataFrame:
+    """Rows (stream, order) that are applied in order before the first that fails; the rest waits."""
+    stop = log.where(F.col(fails)).groupBy(stream).agg(F.min(order).alias("_stop"))
+    return log.join(stop, stream, "left").where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).select(stream, order)
+
+
+def routed(transactions: DataFrame, stream: str, order: str, tx_limit: int, pending_limit: int) -> DataFrame:
+    """transactions (stream, order, bytes, ready) with route: APPLY, STAGE if the target is not ready or earlier ones wait, or REFUSE if one or all that wait are too large."""
+    before = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    waits = F.when(~F.col("ready"), F.col("bytes")).otherwise(0)
+    held = transactions.withColumn("_before", F.coalesce(F.sum(waits).over(before), F.lit(0)))
+    over = (F.col("bytes") > tx_limit) | (~F.col("ready") & (F.col("_before") + F.col("bytes") > pending_limit))
+    return held.withColumn("route", F.when(over, "REFUSE").when(~F.col("ready") | (F.col("_before") > 0), "STAGE").otherwise("APPLY")).drop("_before")
+
+
+def refusals(events: DataFrame, mapped: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """events with refusal: why one cannot be applied, or null. Inserts and updates need every mapped column in the after image, deletes each key in the before image or else the after image."""
+    has = lambda m, c: F.coalesce(F.map_contains_key(m, c), F.lit(False))
+    whole = F.lit(True)
+    for c in mapped:
+        whole = whole & has("after", c)
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & (has("before", k) | has("after", k))
+    kind = F.col("operation")
+    return events.withColumn("refusal", F.when(kind.isin("INSERT", "UPDATE") & ~whole, "incomplete after image").when((kind == "DELETE") & ~keyed, "no key"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidefold.operators import assess, control, perfmodel
@@ -212,8 +213,8 @@ def _(spark, d):
 
 @query("percentile_nearest_rank", "SELECT user_id, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95 FROM (SELECT user_id, event_id * 7 % 1009 AS v FROM events) GROUP BY 1")
 def _(spark, d):
-    s = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.col("event_id") * 7 % 1009).alias("v"))
-    return s.select("user_id", perfmodel.percentile(F.col("v"), 50).alias("p50"), perfmodel.percentile(F.col("v"), 95).alias("p95"))
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY event_id * 7 % 1009)").cast("bigint")
+    return table(spark, d, "events").groupBy("user_id").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 @query(
@@ -229,8 +230,9 @@ def _(spark, d):
 
 @query("sample_ring", "SELECT user_id, len(v)::INTEGER AS n, list_sum(v)::BIGINT AS total FROM (SELECT user_id, (list(event_id ORDER BY event_id) FILTER (WHERE event_id % 5 > 0))[-8:] AS v FROM events GROUP BY 1) WHERE v IS NOT NULL")
 def _(spark, d):
-    kept = F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.when(F.col("event_id") % 5 > 0, F.col("event_id")).otherwise(0).alias("v")))), lambda s: s["v"])
-    ring = table(spark, d, "events").groupBy("user_id").agg(perfmodel.newest(kept, 8).alias("v"))
+    newest = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
+    last = table(spark, d, "events").where("event_id % 5 > 0").select("user_id", "event_id", F.row_number().over(newest).alias("n")).where("n <= 8")
+    ring = last.groupBy("user_id").agg(F.collect_list("event_id").alias("v"))
     return ring.where(F.size("v") > 0).select("user_id", F.size("v").alias("n"), F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 

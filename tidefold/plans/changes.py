@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidefold.operators import cdc
 from tidefold.plans.registry import query
+from tidefold.sources import folders
 from tidefold.sources.scan import table
 from tidefold.streaming import apply
 
 
-def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidefold-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 _OP = "CASE event_type WHEN 'click' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END"
 
 
@@ -188,10 +181,69 @@ def _(spark, d):
     return cdc.last_write_wins(target, changes, "k", "ord", "ver", "val")
 
 
-@query("cdc_duplicates", "SELECT event_id AS tso FROM events WHERE event_id > 200")
+@query(
+    "cdc_duplicates",
+    """SELECT user_id % 4 AS stream, event_id AS tso FROM events LEFT JOIN (SELECT user_id % 4 AS s, max(event_id) AS newest FROM events WHERE event_type = 'signup' GROUP BY 1) ON s = user_id % 4
+ WHERE newest IS NULL OR event_id > newest""",
+)
+def _(spark, d):
+    """A source that sends a third of its rows twice, after a restart from each stream's newest checkpoint."""
+    e = table(spark, d, "events").select((F.col("user_id") % 4).alias("stream"), F.col("event_id").alias("tso"), "event_type")
+    acked = e.where("event_type = 'signup'").select("stream", "tso")
+    sent = e.select("stream", "tso")
+    return cdc.unapplied(sent.union(sent.where("tso % 3 = 0")), acked, "stream", "tso")
+
+
+@query("cdc_ddl_distinct", "SELECT tx, min(ord) AS ord, lower(name) AS name, stmt FROM (SELECT event_id // 50 AS tx, event_id AS ord, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS name, 'ALTER ' || event_type AS stmt FROM events) GROUP BY tx, lower(name), stmt")
+def _(spark, d):
+    """Statements that a transaction repeats for names in other cases count once, at their first place."""
+    e = table(spark, d, "events")
+    name = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    ddl = e.select(F.floor(F.col("event_id") / 50).alias("tx"), F.col("event_id").alias("ord"), name.alias("name"), F.concat(F.lit("ALTER "), "event_type").alias("stmt"))
+    return cdc.distinct_ddl(ddl, ["tx"], ["name"], ["stmt"], "ord")
+
+
+@query(
+    "spool_drain",
+    """SELECT user_id % 8 AS stream, event_id AS seq FROM events LEFT JOIN (SELECT user_id % 8 AS s, min(event_id) AS stop FROM events WHERE event_type = 'error' GROUP BY 1) ON s = user_id % 8
+ WHERE stop IS NULL OR event_id < stop""",
+)
+def _(spark, d):
+    """What a drain of the spool in order applies before each stream's first error."""
+    e = table(spark, d, "events").select((F.col("user_id") % 8).alias("stream"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("fails"))
+    return cdc.drained(e, "stream", "seq", "fails")
+
+
+@query(
+    "spool_route",
+    """SELECT tx, bytes, CASE WHEN bytes > 6000 THEN 'REFUSE' WHEN tx % 7 = 0 AND before + bytes > 200000 THEN 'REFUSE' WHEN tx % 7 = 0 OR before > 0 THEN 'STAGE' ELSE 'APPLY' END AS route
+ FROM (SELECT *, coalesce(sum(CASE WHEN tx % 7 = 0 THEN bytes ELSE 0 END) OVER (PARTITION BY stream ORDER BY tx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+ FROM (SELECT user_id % 8 AS stream, event_id AS tx, length(props) * 100 AS bytes FROM events))""",
+)
+def _(spark, d):
+    """Transactions that find the target not ready wait, and so does what comes after them; what passes a limit is refused."""
+    e = table(spark, d, "events").select((F.col("user_id") % 8).alias("stream"), F.col("event_id").alias("tx"), (F.length("props") * 100).cast("bigint").alias("bytes"), (F.col("event_id") % 7 != 0).alias("ready"))
+    return cdc.routed(e, "stream", "tx", tx_limit=6000, pending_limit=200_000).select("tx", "bytes", "route")
+
+
+@query(
+    "cdc_refused",
+    """SELECT event_id AS ord, CASE WHEN event_type <> 'error' AND event_id % 11 = 0 THEN 'incomplete after image' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'no key' END AS refusal FROM events""",
+)
 def _(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("tso"))
-    return e.union(e.where("tso % 3 = 0")).where("tso > 200").dropDuplicates(["tso"])
+    """Changes whose after image lacks a mapped column, and deletes without a key in either image."""
+    e = table(spark, d, "events")
+    full = F.create_map(F.lit("k"), F.col("user_id").cast("string"), F.lit("v"), F.col("value").cast("string"))
+    short = F.create_map(F.lit("k"), F.col("user_id").cast("string"))
+    other = F.create_map(F.lit("v"), F.col("value").cast("string"))
+    delete = F.col("event_type") == "error"
+    events = e.select(
+        F.col("event_id").alias("ord"),
+        F.when(delete, "DELETE").otherwise("UPDATE").alias("operation"),
+        F.when(delete & (F.col("event_id") % 3 != 0), short).when(delete, other).alias("before"),
+        F.when(~delete, F.when(F.col("event_id") % 11 == 0, other).otherwise(full)).alias("after"),
+    )
+    return cdc.refusals(events, ["k", "v"], ["k"]).select("ord", "refusal")
 
 
 @query("event_mapping", "SELECT e.event_id, m.name FROM events e JOIN (VALUES ('click', 'clicks'), ('view', 'views'), ('purchase', 'sales'), ('signup', 'users'), ('error', 'faults')) m(event_type, name) USING (event_type)")
@@ -206,14 +258,14 @@ def _(spark, d):
     schema = table(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
     changes = events.select((F.col("user_id") % 50).alias("k"), "value", F.col("event_id").alias("ord"), _op().alias("operation"))
-    return apply.apply_stream(spark, changes, _folder(spark), "k bigint, value double", ["k"], "ord")
+    return apply.apply_stream(spark, changes, folders.shared(spark), "k bigint, value double", ["k"], "ord")
 
 
 @query("stream_resolved_merge", "SELECT user_id % 4 AS part, event_id AS tso FROM events WHERE event_id < (SELECT min(m) FROM (SELECT max(event_id) AS m FROM events GROUP BY user_id % 4))")
 def _(spark, d):
     schema = table(spark, d, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select((F.col("user_id") % 4).alias("part"), F.col("event_id").alias("tso"))
-    return apply.resolved_stream(spark, rows, _folder(spark), "part bigint, tso bigint")
+    return apply.resolved_stream(spark, rows, folders.shared(spark), "part bigint, tso bigint", range(4))
 
 
 @query("stream_window_counts", "SELECT event_type, epoch_us(date_trunc('day', ts))::BIGINT AS day_us, count(*) AS n FROM events GROUP BY 1, 2")
@@ -221,7 +273,7 @@ def _(spark, d):
     """An extension: tumbling windows by event time."""
     schema = table(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = _folder(spark)
+    folder = folders.shared(spark)
     counted = apply.counts_by_window(events, "ts", "1 day", "1 day")
 
     def each(batch, n):

@@ -8,7 +8,7 @@ from tidefold.functions import rules, types
 from tidefold.functions.rules import Rule, apply_rules
 from tidefold.operators import checksum, split, upsert
 from tidefold.plans.registry import query
-from tidefold.sources import scan
+from tidefold.sources import folders, scan
 from tidefold.sources.scan import table
 
 # --- scans
@@ -323,10 +323,27 @@ def _(spark, d):
  FROM ({_RANGES}) r LEFT JOIN orders o ON o.o_orderkey BETWEEN r.range_start AND r.range_end GROUP BY ALL""",
 )
 def _(spark, d):
-    """Ranges of about 500 orders, copied with a rename and two rules, compared range by range."""
+    """Ranges of about 500 orders, copied with a rename and two rules; the copy is written, read again and compared range by range."""
+    return _copied(spark, d, lambda rows: rows)
+
+
+@query(
+    "copy_damaged",
+    f"""SELECT r.chunk_no, r.range_start, r.range_end, count(o.o_orderkey) AS source_rows, count(o.o_orderkey) FILTER (WHERE o.o_orderkey <> 1200) AS target_rows,
+ CASE WHEN bool_or(o.o_orderkey IN (77, 1200)) THEN 'MISMATCH' ELSE 'SUCCESS' END AS status
+ FROM ({_RANGES}) r LEFT JOIN orders o ON o.o_orderkey BETWEEN r.range_start AND r.range_end GROUP BY ALL""",
+)
+def _(spark, d):
+    """As copy_and_validate, where the target got one row changed and lost one."""
+    return _copied(spark, d, lambda rows: rows.where("o_orderkey <> 1200").withColumn("o_custkey", F.when(F.col("o_orderkey") == 77, -1).otherwise(F.col("o_custkey"))))
+
+
+def _copied(spark, d, damage):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("priority"))
     fixed = [Rule("priority", "TRIM"), Rule("priority", "LOWER")]
-    source, target = apply_rules(orders, fixed), apply_rules(orders, fixed)
+    source, folder = apply_rules(orders, fixed), folders.shared(spark)
+    damage(source).write.parquet(folder)
+    target = spark.read.parquet(folder)
     ranges = split.row_ranges(orders, "o_orderkey", 500)
     first = F.broadcast(ranges.agg(F.min("range_start").alias("low"), F.max(F.col("range_end") - F.col("range_start") + 1).alias("span")))  # one row
     sums = []
