@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import partitions, prepare, table
+from tidefold.llm.common import WORD, partitions, prepare, table
 
 LEAST = 400
 GRAM = 200
@@ -475,72 +475,71 @@ class _Hashes(dict):
 _words = _Hashes()
 
 
+_PACKED = "shard int, hashes binary, nodes binary, places binary"
+
+
 def _packed(shards: int, windows: bool):
-    """Anchors of each text, or its windows whose anchors others have, packed by shard with the text's node."""
+    """Anchors of each text, or its windows (and their places) whose anchors others have, packed by shard with the text's node."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for k, (node, cell) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
+            hashes, nodes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            asked = batch.column("hashes").to_pylist() if windows else [None] * len(batch)
+            for node, cell, own in zip(batch.column("node").to_pylist(), batch.column("text"), asked, strict=True):
                 w = Words(_bytes(cell))
-                if windows:
-                    asked = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("hashes")[k].as_py()])
-                    hashes.append(np.unique(w.windows[np.isin(w.anchors, asked)]))
-                else:
-                    hashes.append(np.unique(w.anchors))
+                at = np.flatnonzero(np.isin(w.anchors, np.concatenate([np.frombuffer(x, np.uint64) for x in own]))) if windows else None
+                hashes.append(w.windows[at] if windows else np.unique(w.anchors))
+                places.append(at if windows else np.zeros(len(hashes[-1]), np.int64))
                 nodes.append(np.full(len(hashes[-1]), node, np.int64))
-            h, n = np.concatenate(hashes), np.concatenate(nodes)
+            h, n, p = np.concatenate(hashes), np.concatenate(nodes), np.concatenate(places).astype(np.uint32)
             shard = h % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
-            h, n, cuts = h[order], n[order], np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(x, h[a:b].tobytes(), n[a:b].tobytes()) for x, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["shard", "hashes", "nodes"])
+            h, n, p, cuts = h[order], n[order], p[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            rows = [(x, h[a:b].tobytes(), n[a:b].tobytes(), p[a:b].tobytes() if windows else b"") for x, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 3))], ["shard", "hashes", "nodes", "places"])
 
     return packed
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """Of a shard: per text the hashes that another text has too."""
-    h, n = (np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), t) for c, t in (("hashes", np.uint64), ("nodes", np.int64)))
-    order = np.lexsort((n, h))
-    h, n = h[order], n[order]
-    once = np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]))[: len(h)]
-    h, n = h[once], n[once]
-    again = np.zeros(len(h), bool)
-    again[1:] = h[1:] == h[:-1]
-    again[:-1] |= again[1:].copy()
-    order = np.argsort(n[again], kind="stable")
-    h, n = h[again][order], n[again][order]
-    first = np.flatnonzero(np.append(True, n[1:] != n[:-1])[: len(n)])
-    out = [(int(n[a]), h[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(n))[: len(first)], strict=True)]
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["node", "hashes"])
+def _shared(windows: bool):
+    """Of a shard: per text the hashes that another text has too, or the places of these windows."""
+
+    def shared(rows: pa.Table) -> pa.Table:
+        read = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), t)
+        h, n = read("hashes", np.uint64), read("nodes", np.int64)
+        what = read("places", np.uint32) if windows else h
+        order = np.lexsort((n, h))
+        h, n, what = h[order], n[order], what[order]
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        begin = np.flatnonzero(new)
+        several = n[begin] != n[np.append(begin[1:], len(n))[: len(begin)] - 1]  # nodes are in order within a hash
+        again = several[np.cumsum(new) - 1]
+        n, what = n[again], what[again]
+        order = np.argsort(n, kind="stable")
+        n, what = n[order], what[order]
+        first = np.flatnonzero(np.append(True, n[1:] != n[:-1])[: len(n)])
+        out = [(int(n[a]), np.unique(what[a:b]).tobytes()) for a, b in zip(first, np.append(first[1:], len(n))[: len(first)], strict=True)]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["node", "found"])
+
+    return shared
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of each text that its shared windows cover; all, if it has copies and is long enough."""
+    """Words that windows at the places found cover."""
     for batch in batches:
-        out = []
-        for cell, hashes, copies in zip(batch.column("text"), batch.column("hashes").to_pylist(), batch.column("copies").to_pylist(), strict=True):
-            w = Words(_bytes(cell))
-            again = np.ones(len(w.windows), bool) if copies > 1 else np.isin(w.windows, np.concatenate([np.frombuffer(x, np.uint64) for x in hashes]))
-            edges = np.zeros(len(again) + PASSAGE, np.int64)
-            edges[: len(again)] += again
-            edges[PASSAGE:] -= again
-            out.append(int((np.cumsum(edges) > 0).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.int64())], ["node", "n_shared_words"])
+        places = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in parts])).astype(np.int64) for parts in batch.column("found").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([int(np.minimum(np.diff(p), PASSAGE).sum()) + PASSAGE for p in places], pa.int64())], ["node", "n_shared_words"])
 
 
 def shared_words(texts: DataFrame) -> DataFrame:
-    """texts: node, text, copies (rows of that text), one row a node. node and n_shared_words, of those that share any."""
+    """texts: node, text; rows of one node have one text. node and n_shared_words, of those that share any with another node."""
     shards = partitions(texts.sparkSession)
-    packed, shared = "shard int, hashes binary, nodes binary", "node bigint, hashes binary"
-    anchors = texts.mapInArrow(_packed(shards, False), packed).groupBy("shard").applyInArrow(_shared, shared)
-    asked = anchors.groupBy(F.col("node").alias("_n")).agg(F.collect_list("hashes").alias("hashes"))
+    kind = "node bigint, found binary"
+    anchors = texts.mapInArrow(_packed(shards, False), _PACKED).groupBy("shard").applyInArrow(_shared(False), kind)
+    asked = anchors.groupBy(F.col("node").alias("_n")).agg(F.collect_list("found").alias("hashes"))
     again = texts.join(asked, texts["node"] == F.col("_n")).select("node", "text", "hashes")
-    found = again.mapInArrow(_packed(shards, True), packed).groupBy("shard").applyInArrow(_shared, shared)
-    found = found.groupBy(F.col("node").alias("_n")).agg(F.collect_list("hashes").alias("hashes"))
-    work = texts.join(found, texts["node"] == F.col("_n"), "left").where("hashes IS NOT NULL OR copies > 1")
-    return work.select("node", "text", "hashes", "copies").mapInArrow(_covered, "node bigint, n_shared_words bigint")
+    found = again.mapInArrow(_packed(shards, True), _PACKED).groupBy("shard").applyInArrow(_shared(True), kind)
+    return found.groupBy("node").agg(F.collect_list("found").alias("found")).mapInArrow(_covered, "node bigint, n_shared_words bigint")
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -555,7 +554,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     sha = F.sha2(text.cast("binary"), 256)
     node = F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint")  # 60 bits name a text
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    facts = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), sha.alias("sha"), node.alias("node")).checkpoint()
+    facts = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), sha.alias("sha"), node.alias("node"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words")).checkpoint()
     long = rows.where(F.octet_length("text") >= LEAST).select("doc_id", node.alias("node"), "text")
     shards = partitions(spark)
     sent = long.select("node", "text").mapInArrow(_send(shards), "shard int, anchors binary, contexts binary, nodes binary, numbers binary")
@@ -574,9 +573,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = found.groupBy("node").agg(F.collect_list(F.struct("low", "high")).alias("found"))
     work = met.where("copies = 1").join(found, "node", "left").select(F.col("node").alias("_n"), "_first", "numbers", "flags", "found")
     done = long.join(work, same).select("node", "text", "numbers", "flags", "found").mapInArrow(_strip, "node bigint, n_removed bigint, n_spans bigint, kept_sha256 string, edges array<bigint>")
-    one = rows.where(F.octet_length("text") >= 2 * PASSAGE - 1).withColumn("node", node).join(texts.withColumnRenamed("node", "_k"), (F.col("node") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    words = shared_words(one.select("node", "text", "copies"))
-    out = facts.join(texts, "node").join(done, "node", "left").join(words.groupBy("node").agg(F.max("n_shared_words").alias("n_shared_words")), "node", "left")
+    words = shared_words(rows.where(F.octet_length("text") >= 2 * PASSAGE - 1).select(node.alias("node"), "text"))
+    out = facts.join(texts, "node").join(done, "node", "left").join(words, "node", "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LEAST)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     pick = lambda gone, else_: F.when(all_gone, gone).otherwise(else_)
@@ -587,7 +585,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         pick(F.lit(1).cast("bigint"), F.coalesce("n_spans", F.lit(0).cast("bigint"))).alias("n_spans"),
         pick(nothing, F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         pick(F.array(F.lit(0).cast("bigint"), F.col("n_bytes")), F.coalesce("edges", F.array().cast("array<bigint>"))).alias("edges"),
-        F.coalesce("n_shared_words", F.lit(0).cast("bigint")).alias("n_shared_words"),
+        F.when((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE), F.col("n_words")).otherwise(F.coalesce("n_shared_words", F.lit(0).cast("bigint"))).alias("n_shared_words"),
     )
 
 
