@@ -72,4 +72,26 @@ def written(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark)
     docs.write.parquet(folder)
+    del docs
+    _forget(spark)
     return spark.read.parquet(folder)
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """frame, checkpointed; the shuffles behind it may go."""
+    spark = frame.sparkSession
+    out = frame.checkpoint()
+    del frame
+    _forget(spark)
+    return out
+
+
+def _forget(spark: SparkSession) -> None:
+    """Hint to the driver's JVM to collect plans that nobody refers to any more.
+
+    Spark deletes the files of a shuffle when the driver's collector finds its
+    plan dead, which may be long after a checkpoint has cut the lineage; till
+    then every step's shuffles stay on the executors' disks. Only plans that
+    nothing can read again are found, so a lost executor's work is still redone.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.llm.common import settled
+
 ROUNDS = 60
 
 
@@ -15,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     checkpointed; no neighbourhood is gathered. Ends when a round changes
     nothing, after about log rounds.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().checkpoint()
+    now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     mark = _mark(now)
     for _ in range(ROUNDS):
         if not mark[0]:
@@ -27,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: every node and its lesser neighbours go to the least of those.
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u")))
-        now = small.where("v <> u").distinct().checkpoint()
+        now = settled(small.where("v <> u").distinct())
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import WORD, packed, partitions, prepare, table, unpacked
+from tidefold.llm.common import WORD, packed, partitions, prepare, settled, table, unpacked
 from tidefold.llm.graph import components
 
 WORDS = 5
@@ -449,7 +449,7 @@ def _texts(docs: DataFrame, facts: DataFrame, wanted: DataFrame) -> DataFrame:
     """vertex, text (at most once a task that read one) of the vertices wanted."""
     spark = docs.sparkSession
     slot = F.pmod("key", F.lit(MAP_BITS)).alias("slot")
-    asked = facts.join(wanted, "vertex").select("vertex", "key").checkpoint()
+    asked = settled(facts.join(wanted, "vertex").select("vertex", "key"))
     shared = spark.sparkContext.broadcast(_map(asked.select(slot)))
     return docs.select("key", "text", slot).mapInArrow(_picked(shared), "key bigint, text string").join(asked, "key").select("vertex", "text")
 
@@ -462,12 +462,12 @@ def _links(docs: DataFrame, facts: DataFrame, pairs: DataFrame, words: int, perc
     total = int(weight.agg(F.sum("weight")).first()[0] or 0)
     salt = F.pmod(F.xxhash64("a"), F.ceil(F.col("weight") / BLOCK))
     homes = lead.join(weight, "lead").select("a", F.pmod(F.xxhash64("lead", salt), F.lit(-(-total // BLOCK) or 1)).cast("int").alias("block"))
-    dealt = pairs.join(homes, "a").select("block", "a", "b").checkpoint()
+    dealt = settled(pairs.join(homes, "a").select("block", "a", "b"))
     needs = dealt.select("block", F.col("a").alias("vertex")).union(dealt.select("block", F.col("b").alias("vertex"))).distinct()
 
     texts = _texts(docs, facts, needs.select("vertex").distinct())
     left = texts.join(needs, "vertex").select(F.col("block").alias("home"), "vertex", "text")
-    return left.groupBy("home").cogroup(dealt.groupBy("block")).applyInArrow(_verify(words, percent), "a bigint, b bigint").checkpoint()
+    return settled(left.groupBy("home").cogroup(dealt.groupBy("block")).applyInArrow(_verify(words, percent), "a bigint, b bigint"))
 
 
 def _several(rooted: DataFrame) -> DataFrame:
@@ -478,19 +478,19 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slice_: in
     """docs: doc_id, text. Per row: doc_id, n_shingles and component_id (the least id reachable by links). Buckets over slice_ members are dealt in slices."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    rows = docs.mapInArrow(_facts(words), _FACTS).checkpoint()
-    facts = rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")).checkpoint()
+    rows = settled(docs.mapInArrow(_facts(words), _FACTS))
+    facts = settled(rows.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")))
     total = int(facts.agg(F.sum("n")).first()[0] or 0)
     shards = max(partitions(spark), total // SHARD)
     buckets = docs.mapInArrow(_send(words, percent, shards), _SENT).groupBy("shard").applyInArrow(_buckets(slice_), _BUCKETS)
-    buckets = buckets.dropDuplicates(["bucket", "slice"]).checkpoint()
+    buckets = settled(buckets.dropDuplicates(["bucket", "slice"]))
 
     # Buckets by sketches.
     cells = facts.select("vertex", "n", "sketch")
     parts = max(2 * partitions(spark), int(buckets.agg(F.sum(F.size("members"))).first()[0] or 0) // PART)
     part = F.pmod(F.xxhash64("bucket", "slice"), F.lit(parts)).alias("part")
     member = buckets.select("bucket", "slices", "slice", "centre", F.explode("members").alias("vertex")).join(cells, "vertex").select("*", part)
-    groups = member.groupBy("part").applyInArrow(_split(percent), _PARTS).dropDuplicates(["bucket", "slice"]).checkpoint()
+    groups = settled(member.groupBy("part").applyInArrow(_split(percent), _PARTS).dropDuplicates(["bucket", "slice"]))
 
     # Each member with its centre, then members of different components.
     held = facts.select("vertex", "key", "n")
@@ -499,15 +499,15 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slice_: in
     links = _links(docs, held, stars, words, percent)
     roots = components(links)
     rooted = member.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).select("bucket", "slices", "slice", "vertex", "root")
-    several = _several(rooted).checkpoint()
+    several = settled(_several(rooted))
     if several.take(1):
         open_ = member.join(several, "bucket").select("bucket", "slices", "slice", "vertex")
         texts = _texts(docs, held, open_.select("vertex").distinct())
-        fine = texts.mapInArrow(_sketched(words), "vertex bigint, sketch binary").groupBy("vertex").agg(F.first("sketch").alias("sketch")).join(held.select("vertex", "n"), "vertex").checkpoint()
+        fine = settled(texts.mapInArrow(_sketched(words), "vertex bigint, sketch binary").groupBy("vertex").agg(F.first("sketch").alias("sketch")).join(held.select("vertex", "n"), "vertex"))
         for nearest in (True, False):
             rooted = open_.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
             # The largest component of each bucket, and how many rows the buckets of one have: as many as make a group are compared in one task.
-            main = rooted.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.sum("count").alias("rows"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds").checkpoint()
+            main = settled(rooted.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.sum("count").alias("rows"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"))
             heavy = main.groupBy("main").agg(F.sum("rows").alias("weight"))
             total = int(main.agg(F.sum("rows")).first()[0] or 0)
             place = main.join(heavy, "main").select("bucket", "main", F.ceil(F.col("weight") / GROUP).alias("salts"))
@@ -517,7 +517,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slice_: in
             rest = apart.unionByName(visits.drop("to")).select(group, "bucket", "slice", "vertex", "root", "aside", "guest")
             needs = rest.select(F.col("group").alias("home"), F.col("vertex").alias("node")).distinct().join(fine.withColumnRenamed("vertex", "node"), "node").select("home", "node", "n", "sketch")
             pairs = needs.groupBy("home").cogroup(rest.groupBy("group")).applyInArrow(_cross(percent, nearest), "a bigint, b bigint")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+            pairs = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
             if not pairs.take(1):
                 break
             roots = components(_links(docs, held, pairs, words, percent).union(roots.select("node", "root")))
@@ -525,7 +525,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, slice_: in
     # Vertices of one id are one vertex.
     named = rows.where("vertex IS NOT NULL AND doc_id IS NOT NULL")
     shared_ids = named.groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b")
-    alike = named.join(shared_ids.select("doc_id", "a"), "doc_id").select("a", F.col("vertex").alias("b")).where("a <> b").distinct().checkpoint()
+    alike = settled(named.join(shared_ids.select("doc_id", "a"), "doc_id").select("a", F.col("vertex").alias("b")).where("a <> b").distinct())
     if alike.take(1):
         roots = components(alike.union(roots.select("node", "root")))
 
