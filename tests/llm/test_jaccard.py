@@ -161,3 +161,24 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges for x in e if find(x) != x}
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 40, 1000])
+def test_components_by_chunks(spark, chunk):
+    """Chains, a hub, repeated edges, loops and negative ids, contracted in one chunk or many."""
+    rng = random.Random(chunk)
+    chain = [(i * 37 % 101 - 50, (i + 1) * 37 % 101 - 50) for i in range(60)]
+    edges = chain + [(1000, 1001 + i) for i in range(30)] + [(5, 5), (2000, 2001), (2001, 2000), (2000, 2001)] + [(rng.randint(3000, 3060), rng.randint(3000, 3060)) for _ in range(40)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), chunk)
+    assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in parent if find(x) != x)
+    assert graph.components(spark.createDataFrame([], "a long, b long"), chunk).count() == 0
