@@ -77,3 +77,26 @@ def test_clean_and_empty(spark):
     assert out.schema == docs.schema
     assert {r.doc_id for r in out.collect()} == {i for i, _, y in rows if not y} | {7777}
     assert toxicity.clean(spark, docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_documents_stay_off_the_driver(spark, monkeypatch):
+    """The model is fitted in a task: the driver's own fit is never called, and the result is the same."""
+    rows = [(i, t, y) for i, t, y in corpus(6, 400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    known = labels.where(toxicity.id_fold(labels["doc_id"], toxicity.FOLDS) != 0).orderBy(toxicity.F.xxhash64("doc_id", toxicity.F.lit(7)), "doc_id")
+    by = {i: t for i, t, _ in rows}
+    expect = toxicity.fit([(by[r.doc_id], r.toxic) for r in known.collect()])
+    toxicity.prepare(spark)
+    monkeypatch.setattr(toxicity, "fit", None)
+    got = toxicity.train(docs, labels)
+    assert got.weights == pytest.approx(expect.weights) and got.bias == pytest.approx(expect.bias) and got.weights
+    assert toxicity.train(docs, labels.limit(0)).weights == {} and toxicity.train(docs, labels.limit(0)).bias == -30.0
+
+
+def test_remembered_words_are_bounded(model, monkeypatch):
+    text = " ".join(f"{a}{b}" for a in GOOD for b in ("x", "y")) + " grobble snarf."
+    expect = model.sentences(text)
+    monkeypatch.setattr(toxicity, "KNOWN", 10)
+    small = toxicity.Model(model.weights, model.bias)
+    assert [p for _, _, p in small.sentences(text)] == pytest.approx([p for _, _, p in expect]) and len(small.known) <= 10

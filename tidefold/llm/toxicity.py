@@ -10,9 +10,10 @@ A word's weight is the sum of the weights of its features: the word itself and
 its beginnings of 3 to 7 letters, so inflected and unseen forms of a known
 stem count. Features are chosen by their log-odds between labelled documents.
 
-The classifier is fitted on the driver on at most SAMPLE labelled documents,
+The classifier is fitted in one task on at most SAMPLE labelled documents,
 chosen by a hash of the id (a documented bound); the model holds at most
-FEATURES features. All documents are scored, whole.
+FEATURES features, and only these reach the driver. All documents are scored,
+whole.
 
 Defined cases: null and empty text score 0; a label table without rows, or
 with one class only, gives a model that scores 0; of several labels of an id
@@ -35,6 +36,8 @@ from tidefold.llm.common import id_fold, prepare, table
 SAMPLE = 6_000
 FEATURES = 4_000
 FOLDS = 5
+#: Words whose weight a worker remembers; this bounds memory alone.
+KNOWN = 100_000
 #: A feature needs this many positive documents, this log-odds and this many standard errors.
 LEAST_DOCS, LEAST_ODDS, LEAST_Z = 4, 1.5, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -54,7 +57,7 @@ class Model:
 
     def word(self, w: str) -> float:
         if w not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) >= KNOWN:
                 self.known.clear()
             self.known[w] = sum(self.weights.get(f, 0.0) for f in features(w))
         return self.known[w]
@@ -76,29 +79,40 @@ def fit(rows: list[tuple[str, int]], steps: int = 400, rate: float = 0.1, ridge:
     if not min(n):
         return Model({}, -30.0)
     counts = (Counter(), Counter())
-    shapes: dict[str, list[str]] = {}
     for text, y in rows:
-        seen = set()
-        for w in set(_WORD.findall(text.lower())):
-            seen.update(shapes.setdefault(w, features(w)))
-        counts[y].update(seen)
+        if y:
+            counts[1].update({f for w in set(_WORD.findall(text.lower())) for f in features(w)})
+    # Only features of enough positive documents can be chosen, so no others are held or counted.
+    often = {f: f for f, a in counts[1].items() if a >= LEAST_DOCS}
+    shapes: dict[str, tuple[str, ...]] = {}
+
+    def shape(w: str) -> tuple[str, ...]:
+        if w not in shapes:
+            shapes[w] = tuple(often[f] for f in features(w) if f in often)
+        return shapes[w]
+
+    for text, y in rows:
+        if not y:
+            counts[0].update({f for w in set(_WORD.findall(text.lower())) for f in shape(w)})
     chosen = {}
-    for f, a in counts[1].items():
-        if a >= LEAST_DOCS:
-            b = counts[0][f]
-            odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
-            z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (n[0] - b + 0.5))
-            if odds >= LEAST_ODDS and z >= LEAST_Z:
-                chosen[f] = z
+    for f in often:
+        a, b = counts[1][f], counts[0][f]
+        odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (n[0] - b + 0.5))
+        if odds >= LEAST_ODDS and z >= LEAST_Z:
+            chosen[f] = z
     names = sorted(sorted(chosen, key=lambda f: (-chosen[f], f))[:FEATURES])
     index = {f: i for i, f in enumerate(names)}
-    owned = {w: [index[f] for f in fs if f in index] for w, fs in shapes.items()}
+    owned: dict[str, list[int]] = {}
     # One row for each sentence that has a feature; the others of a bag all score sigmoid(bias).
     cells, sentence, bag, plain = [], [], [], np.zeros(len(rows))
     for d, (text, _) in enumerate(rows):
         for part in _SENTENCE.findall(text.lower()):
             words = set(_WORD.findall(part))
-            got = [i for w in words for i in owned.get(w, ())]
+            for w in words:
+                if w not in owned:
+                    owned[w] = [index[f] for f in shape(w) if f in index]
+            got = [i for w in words for i in owned[w]]
             if got:
                 cells += got
                 sentence += [len(bag)] * len(got)
@@ -125,14 +139,22 @@ def fit(rows: list[tuple[str, int]], steps: int = 400, rate: float = 0.1, ridge:
     return Model({f: float(x) for f, x in zip(names, theta, strict=False) if x > 1e-3}, float(theta[-1]))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows: its weights, and the bias in a row without a feature."""
+    model = fit([(t or "", int(y > 0)) for batch in batches for t, y in zip(batch.column("_t").to_pylist(), batch.column("_y").to_pylist(), strict=True)])
+    yield pa.RecordBatch.from_arrays([pa.array([*model.weights, None], pa.string()), pa.array([*model.weights.values(), model.bias], pa.float64())], ["feature", "weight"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model of the labelled rows outside the held-out fold; at most SAMPLE documents reach the driver."""
+    """Model of the labelled rows outside the held-out fold; at most SAMPLE documents reach the one task that fits it, and at most FEATURES weights the driver."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_fold(F.col("doc_id"), FOLDS) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y"))
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     ids = known.orderBy(*order).limit(SAMPLE)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("_t")).join(F.broadcast(ids), "doc_id").orderBy(*order, "_t").limit(SAMPLE)
-    return fit([(r["_t"] or "", int(r["_y"] > 0)) for r in rows.select("_t", "_y").collect()])
+    found = {r["feature"]: r["weight"] for r in rows.select("_t", "_y").coalesce(1).mapInArrow(_fitted, "feature string, weight double").collect()}
+    bias = found.pop(None, -30.0)  # a table without rows may have no task
+    return Model(found, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -157,6 +179,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     where.append([])
                 scores.append(float(min(1.0, max(0.0, 1 - clear))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(where, kind)], ["doc_id", "score", "sentences"])
+        model.known.clear()  # a worker keeps the model for later tasks
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(scored, schema)
 
@@ -192,5 +215,6 @@ def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
                     base = 1 / (1 + np.exp(-max(-30.0, model.bias)))
                     keep.append((1 - base) ** sum(_WORD.search(m) is not None for m in _SENTENCE.findall(text)) > 0.5)
             yield batch.filter(pa.array(keep, pa.bool_()))
+        model.known.clear()
 
     return docs.mapInArrow(toxic, docs.schema)
