@@ -80,6 +80,23 @@ def test_block_counts_windows():
     assert np.all(np.diff(b.values) > 0)
 
 
+@pytest.mark.parametrize("piece", [4, 1 << 16])
+def test_sorted_windows_equal_brute_force(monkeypatch, piece):
+    """Windows are sorted with the number of their text, some texts and some n-grams at a time."""
+    monkeypatch.setattr(ppm, "PIECE", piece)
+    monkeypatch.setattr(ppm, "_STEP", 7)
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"ab\xff") for _ in range(rng.randint(0, 30))) for _ in range(23)]
+    train = [rng.random() < 0.5 for _ in texts]
+    windows = [[int.from_bytes((bytes([ppm.PAD]) * 5 + t + bytes([ppm.END]))[k : k + 6]) for k in range(len(t) + 1)] for t in texts]
+    b = ppm.Block(texts, train)
+    assert len(b.pieces) == (6 if piece == 4 else 1)
+    assert b.values.tolist() == sorted({v for w in windows for v in w})
+    taught = Counter(v for w, yes in zip(windows, train) if yes for v in w)
+    assert b.counts.tolist() == [taught[v] for v in b.values.tolist()]
+    assert b.sums(b.values % 1000.0).tolist() == [sum(v % 1000 for v in w) for w in windows]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert ppm.op2_ppm_score(spark, str(tmp_path)).collect() == []

@@ -7,7 +7,7 @@ are padded. Its score is the log10 probability of that string. A unigram model
 of lower-cased words with add-one smoothing (the base) is scored beside it.
 
 Distribution. Documents are dealt by hash into blocks of about BLOCK bytes.
-A block builds its own trie and word list and sends, shard by shard, each
+A block sorts its own n-grams and words and sends, shard by shard, each
 distinct n-gram and word once with its training count. A shard of n-grams is
 all contexts that share their last two bytes, so every context of order 2 and
 more meets its suffixes there; a shard holds at most 2 ** 40 keys and in text
@@ -43,28 +43,20 @@ FOLDS, HELD_OUT = 7, 2
 #: Neither byte occurs in UTF-8. PAD is context only, END ends a text; so 255 symbols can be coded.
 PAD, END, SYMBOLS = 0xFE, 0xFF, 255
 _STEP = 1 << 21
+#: Texts of a block whose windows are sorted together.
+PIECE = 1 << 16
 
 _SENT = "block int, shard int, kind int, keys binary, counts binary, n_train bigint, n_docs bigint"
 _ANSWER = "block int, shard int, kind int, found bigint, answers binary"
 
 
-class _Rank:
-    """Numbers the set places of a bit map in order, a word at a time, in an eighth of a byte a place."""
-
-    def __init__(self, seen: np.ndarray):
-        bits = np.packbits(seen, bitorder="little")
-        self.words = np.concatenate([bits, np.zeros(-len(bits) % 8 + 8, np.uint8)]).view(np.uint64)
-        ones = np.bitwise_count(self.words)
-        self.before = (np.cumsum(ones, dtype=np.int32) - ones).astype(np.int32)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        word, bit = keys >> 6, (keys & 63).astype(np.uint64)
-        under = self.words[word] & ((np.uint64(1) << bit) - np.uint64(1))
-        return self.before[word] + np.bitwise_count(under)
-
-
 class Block:
-    """Trie and words of a block of (text bytes, is training) documents."""
+    """Distinct n-grams and words of a block of (text bytes, is training) documents.
+
+    A window of ORDER + 1 bytes is its value, 48 bits, and the number of its
+    text in PIECE texts, 16 bits. Sorted, the windows of one n-gram lie side by
+    side, and so are counted and summed by text without a look-up.
+    """
 
     def __init__(self, texts: list[bytes], train: list[bool]):
         pad, end = bytes([PAD]) * ORDER, bytes([END])
@@ -76,38 +68,56 @@ class Block:
         for i in range(ORDER):
             over = self.first[1:] - 1 - i
             self.valid[over] = False
-        letters = np.unique(data)
-        size = max(1, len(letters))
-        code = np.zeros(256, np.int64)
-        code[letters] = np.arange(len(letters))
-        self.ids = np.zeros(n, np.int32)  # the node of each window, one level after another
-        values, nodes = np.zeros(1, np.int64), 1
-        for level in range(ORDER + 1):
-            seen = np.zeros(nodes * size, bool)
-            key = lambda a, level=level: self.ids[a : a + _STEP].astype(np.int64) * size + code[data[a + level : min(a + _STEP, n) + level]]
-            for a in range(0, n, _STEP):
-                seen[key(a)[self.valid[a : a + _STEP]]] = True
-            at = np.flatnonzero(seen)
-            number = _Rank(seen)
-            del seen
-            values, nodes = values[at // size] << 8 | letters[at % size].astype(np.int64) if len(at) else values[:0], len(at)
-            for a in range(0, n, _STEP):
-                self.ids[a : a + _STEP] = np.minimum(number(key(a)), max(0, nodes - 1))
-        self.values = values
-        self.counts = np.zeros(nodes, np.int64)
-        taught = np.repeat(np.array(train, bool), self.lengths + ORDER)[:n] if len(texts) else np.zeros(0, bool)
-        for a in range(0, n, _STEP):
-            self.counts += np.bincount(self.ids[a : a + _STEP][taught[a : a + _STEP] & self.valid[a : a + _STEP]], minlength=nodes)
-
-    def sums(self, of_node: np.ndarray) -> np.ndarray:
+        taught = np.array(train, np.int64)
+        self.pieces: list[tuple[int, np.ndarray, np.ndarray]] = []
+        values, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(texts), PIECE):
+            high = min(low + PIECE, len(texts))
+            a, b = int(self.first[low]), int(self.first[high - 1] + self.lengths[high - 1])
+            key = np.zeros(b - a, np.uint64)
+            for i in range(ORDER + 1):
+                key <<= np.uint64(8)
+                key |= data[a + i : b + i]
+            key <<= np.uint64(16)
+            key |= np.repeat(np.arange(high - low, dtype=np.uint16), self.lengths[low:high] + ORDER)[: b - a]
+            key = key[self.valid[a:b]]
+            key.sort()
+            new = np.ones(len(key), bool)
+            for x in range(1, len(key), _STEP):
+                y = min(x + _STEP, len(key))
+                new[x:y] = (key[x:y] ^ key[x - 1 : y - 1]) >> np.uint64(16) != 0
+            begin = np.flatnonzero(new)
+            del new
+            self.pieces.append((low, key, begin))
+            values.append((key[begin] >> np.uint64(16)).astype(np.int64))
+            counts.append(np.zeros(len(begin), np.int64))
+            for x, y, of in self._steps(key, begin):
+                counts[-1][x:y] = np.add.reduceat(taught[low + of], begin[x:y] - begin[x])
+        if len(self.pieces) == 1:
+            self.values, self.counts = values[1], counts[1]
+        else:
+            self.values = np.unique(np.concatenate(values))
+            self.counts = np.zeros(len(self.values), np.int64)
+            for v, c in zip(values, counts, strict=True):
+                self.counts[np.searchsorted(self.values, v)] += c
+
+    @staticmethod
+    def _steps(key: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Ranges of n-grams of a few million windows, and the texts of these."""
+        x = 0
+        while x < len(begin):
+            y = max(x + 1, int(np.searchsorted(begin, begin[x] + _STEP)))
+            yield x, y, (key[begin[x] : begin[y] if y < len(begin) else len(key)] & np.uint64(PIECE - 1)).astype(np.int64)
+            x = y
+
+    def sums(self, of_value: np.ndarray) -> np.ndarray:
         """Sum over each text's windows, a few million windows at a time."""
-        out, i, n = np.zeros(len(self.lengths)), 0, len(self.lengths)
-        ends = self.first + self.lengths
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(ends, self.first[i] + _STEP, side="right")))
-            a, b = int(self.first[i]), int(ends[j - 1])
-            out[i:j] = np.add.reduceat(np.where(self.valid[a:b], of_node[self.ids[a:b]], 0.0), self.first[i:j] - a)
-            i = j
+        out = np.zeros(len(self.lengths))
+        for low, key, begin in self.pieces:
+            own = of_value if len(self.pieces) == 1 else of_value[np.searchsorted(self.values, (key[begin] >> np.uint64(16)).astype(np.int64))]
+            for x, y, of in self._steps(key, begin):
+                found = np.bincount(of, np.repeat(own[x:y], np.diff(np.append(begin[x:y], begin[x] + len(of)))))
+                out[low : low + len(found)] += found
         return out
 
     def order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
