@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from tidefold.llm import suffixes as S
@@ -77,6 +78,21 @@ def test_short_passages_of_many_words(spark):
     assert all(n == 0 for n, _ in got.values())
 
 
+def test_answers_about_shared_words_are_packed():
+    """A shard makes a row a home, however many texts it knows; homes together give each text what is shared, once."""
+    rng = np.random.default_rng(3)
+    hashes, nodes = rng.integers(0, 400, 3000).astype(np.uint64), rng.integers(0, 700, 3000)
+    places = rng.integers(0, 50, 3000).astype(np.uint32)
+    rows = pa.table({"shard": [0, 0], **{c: [x[:1000].tobytes(), x[1000:].tobytes()] for c, x in (("hashes", hashes), ("nodes", nodes), ("places", places))}})
+    who = {h: set(nodes[hashes == h].tolist()) for h in set(hashes.tolist())}
+    again = [(n, h, p) for n, h, p in zip(nodes.tolist(), hashes.tolist(), places.tolist()) if len(who[h]) > 1]
+    for windows, kind in ((False, np.uint64), (True, np.uint32)):
+        out = S._shared(windows, 5)(rows)
+        assert sorted(out.column("home").to_pylist()) == [0, 1, 2, 3, 4]
+        got = {n: x.tolist() for k in range(5) for n, x in S._own(out.filter(pa.compute.equal(out.column("home"), k)), kind)}
+        assert got == {n: sorted({p if windows else h for m, h, p in again if m == n}) for n in {n for n, _, _ in again}}
+
+
 def test_words_in_spans(monkeypatch):
     rng = random.Random(5)
     data = " ".join(str(rng.randint(0, 50)) for _ in range(3000)).encode()

@@ -487,7 +487,7 @@ def _packed(shards: int, windows: bool):
             asked = batch.column("hashes").to_pylist() if windows else [None] * len(batch)
             for node, cell, own in zip(batch.column("node").to_pylist(), batch.column("text"), asked, strict=True):
                 w = Words(_bytes(cell))
-                at = np.flatnonzero(np.isin(w.anchors, np.concatenate([np.frombuffer(x, np.uint64) for x in own]))) if windows else None
+                at = np.flatnonzero(np.isin(w.anchors, np.frombuffer(own, np.uint64))) if windows else None
                 hashes.append(w.windows[at] if windows else np.unique(w.anchors))
                 places.append(at if windows else np.zeros(len(hashes[-1]), np.int64))
                 nodes.append(np.full(len(hashes[-1]), node, np.int64))
@@ -501,8 +501,11 @@ def _packed(shards: int, windows: bool):
     return packed
 
 
-def _shared(windows: bool):
-    """Of a shard: per text the hashes that another text has too, or the places of these windows."""
+_HOMES = "home int, nodes binary, found binary"
+
+
+def _shared(windows: bool, homes: int):
+    """Of a shard: the hashes that another text has too, or the places of these windows, packed by the home of their text."""
 
     def shared(rows: pa.Table) -> pa.Table:
         read = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), t)
@@ -515,31 +518,51 @@ def _shared(windows: bool):
         several = n[begin] != n[np.append(begin[1:], len(n))[: len(begin)] - 1]  # nodes are in order within a hash
         again = several[np.cumsum(new) - 1]
         n, what = n[again], what[again]
-        order = np.argsort(n, kind="stable")
-        n, what = n[order], what[order]
-        first = np.flatnonzero(np.append(True, n[1:] != n[:-1])[: len(n)])
-        out = [(int(n[a]), np.unique(what[a:b]).tobytes()) for a, b in zip(first, np.append(first[1:], len(n))[: len(first)], strict=True)]
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["node", "found"])
+        home = n % homes
+        order = np.argsort(home, kind="stable")
+        n, what, cuts = n[order], what[order], np.searchsorted(home[order], np.arange(homes + 1))
+        out = [(x, n[a:b].tobytes(), what[a:b].tobytes()) for x, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 2))], ["home", "nodes", "found"])
 
     return shared
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that windows at the places found cover."""
-    for batch in batches:
-        places = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in parts])).astype(np.int64) for parts in batch.column("found").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([int(np.minimum(np.diff(p), PASSAGE).sum()) + PASSAGE for p in places], pa.int64())], ["node", "n_shared_words"])
+def _own(rows: pa.Table, kind) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a home: each text's node and what was found of it, sorted, each once."""
+    n, what = (np.frombuffer(b"".join(x.as_py() for x in rows.column(c)), t) for c, t in (("nodes", np.int64), ("found", kind)))
+    order = np.lexsort((what, n))
+    n, what = n[order], what[order]
+    new = np.append(True, n[1:] != n[:-1])[: len(n)]
+    once = new | np.append(True, what[1:] != what[:-1])[: len(n)]
+    n, what, first = n[once], what[once], np.flatnonzero(new[once])
+    for a, b in zip(first.tolist(), np.append(first[1:], len(n))[: len(first)].tolist(), strict=True):
+        yield int(n[a]), what[a:b]
+
+
+def _asked(rows: pa.Table) -> pa.Table:
+    """Of a home: each text's hashes that others have."""
+    out = [(n, h.tobytes()) for n, h in _own(rows, np.uint64)]
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["node", "hashes"])
+
+
+def _covered(rows: pa.Table) -> pa.Table:
+    """Of a home: the words of each text that windows at the places found cover."""
+    out = [(n, int(np.minimum(np.diff(p.astype(np.int64)), PASSAGE).sum()) + PASSAGE) for n, p in _own(rows, np.uint32)]
+    return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], ["node", "n_shared_words"])
 
 
 def shared_words(texts: DataFrame) -> DataFrame:
-    """texts: node, text; rows of one node have one text. node and n_shared_words, of those that share any with another node."""
+    """texts: node, text; rows of one node have one text. node and n_shared_words, of those that share any with another node.
+
+    What a shard answers is packed by home, so it makes a row a home at most,
+    not a row for each text that it knows.
+    """
     shards = partitions(texts.sparkSession)
-    kind = "node bigint, found binary"
-    anchors = texts.mapInArrow(_packed(shards, False), _PACKED).groupBy("shard").applyInArrow(_shared(False), kind)
-    asked = anchors.groupBy(F.col("node").alias("_n")).agg(F.collect_list("found").alias("hashes"))
+    anchors = texts.mapInArrow(_packed(shards, False), _PACKED).groupBy("shard").applyInArrow(_shared(False, shards), _HOMES)
+    asked = anchors.groupBy("home").applyInArrow(_asked, "node bigint, hashes binary").withColumnRenamed("node", "_n")
     again = texts.join(asked, texts["node"] == F.col("_n")).select("node", "text", "hashes")
-    found = again.mapInArrow(_packed(shards, True), _PACKED).groupBy("shard").applyInArrow(_shared(True), kind)
-    return found.groupBy("node").agg(F.collect_list("found").alias("found")).mapInArrow(_covered, "node bigint, n_shared_words bigint")
+    found = again.mapInArrow(_packed(shards, True), _PACKED).groupBy("shard").applyInArrow(_shared(True, shards), _HOMES)
+    return found.groupBy("home").applyInArrow(_covered, "node bigint, n_shared_words bigint")
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
