@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import packed, prepare, table, unpacked, written
+from tidefold.llm.common import forget, packed, prepare, settled, table, unpacked, written
 
 #: One line in so many is a mark.
 CUT = 4
@@ -142,11 +142,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and others) with every repeated passage of two lines or more taken out of text, and the columns n_lines and n_lines_removed added, in place of any of these names."""
+    prepare(docs.sparkSession)
     full = packed(docs).withColumn("_t", F.xxhash64("text"))
     keyed = full.where("text IS NOT NULL").select("doc_id", "text", "_t")
     held, copies = _repeats(keyed, passages)
     marks = copies.select("doc_id", "_t", "i", F.lit(False).alias("stays")).unionByName(held.where("is_first").select("doc_id", "_t", F.col("_i").alias("i"), F.lit(True).alias("stays")))
-    marks = marks.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_set(F.when(~F.col("stays"), F.col("i"))).alias("_gone"), F.collect_set(F.when(F.col("stays"), F.col("i"))).alias("_kept")).where(F.size("_gone") > 0)
+    # What was sent to compare pieces holds texts too; it goes before texts are sent again.
+    marks = settled(marks.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")).agg(F.collect_set(F.when(~F.col("stays"), F.col("i"))).alias("_gone"), F.collect_set(F.when(F.col("stays"), F.col("i"))).alias("_kept")).where(F.size("_gone") > 0))
+    forget(docs.sparkSession)
 
     def left(v: Column) -> Column:
         covered = lambda full, name: F.flatten(F.transform(F.col(name), lambda i: F.sequence(F.get(full, i), F.get(full, i + 1))))
@@ -179,7 +182,9 @@ def strip_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def strip_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with every repeated passage of two lines or more taken out, otherwise as strip_documents. docs is written first, as it is read several times."""
     prepare(spark)
-    return _stripped(written(docs), dedup_passages, "n_lines_removed")
+    given = [docs]
+    del docs  # else what was sent to make it stays on the disk
+    return _stripped(written(given.pop()), dedup_passages, "n_lines_removed")
 
 
 def _stripped(docs: DataFrame, dedup, removed: str) -> DataFrame:
