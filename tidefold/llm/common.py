@@ -100,15 +100,16 @@ def _forget(spark: SparkSession) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """As ``_forget``, but surely at once, for shuffles of whole texts: some tenths of a second.
+    """As ``_forget``, but at once, for shuffles of whole texts: about a second.
 
     Frames in Python's reference cycles keep their plans, and Spark's scheduler
     keeps the plan of the last job till there is another; so cycles are collected
-    and a job of one row is run first. What that leaves to be found goes the
-    second time.
+    and a job of one row is run first. Other threads of the driver let go of
+    plans a little later, so the hint is given again after growing pauses.
     """
     gc.collect()
     spark.range(0, 1, 1, 1).collect()
     _forget(spark)
-    time.sleep(0.1)
-    _forget(spark)
+    for pause in (0.1, 0.3, 0.6):
+        time.sleep(pause)
+        _forget(spark)
